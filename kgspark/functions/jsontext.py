@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns of the repair steps and of the key/value fallback.
 CODE_FENCE = r"```[a-zA-Z]*\n?"
@@ -54,7 +55,7 @@ def _balanced_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_balanced(texts: pd.Series) -> pd.Series:
     """First balanced JSON object of a text."""
     def pick(t):
@@ -63,7 +64,7 @@ def first_balanced(texts: pd.Series) -> pd.Series:
     return texts.map(pick)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def last_balanced(texts: pd.Series) -> pd.Series:
     """Last balanced JSON object of a text."""
     def pick(t):

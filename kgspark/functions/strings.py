@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The HTML entities unescaped without Python, and the control characters dropped.
 COMMON_ENTITIES = {
@@ -30,13 +31,13 @@ def unescape_common(c: Column) -> Column:
     return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), COMMON_ENTITIES.items(), c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_all(texts: pd.Series) -> pd.Series:
     """Unescape every named and numeric HTML entity."""
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compose(texts: pd.Series) -> pd.Series:
     """Unicode NFC form."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A token is a word with the white space before it; trailing space is one token.
 TOKEN_PATTERN = r"\s*\S+|\s+$"
@@ -27,7 +28,7 @@ def register(name: str, tokenize: Callable[[Column], Column]) -> None:
 def register_bpe(encoding: str = "cl100k_base") -> None:
     """Add a BPE tokenizer; needs the encoding's file on every executor."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def bpe(texts: pd.Series) -> pd.Series:
         import tiktoken
 

@@ -40,6 +40,12 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(fn) for name, fn in _QUERIES.items()}
 
 
+def names_in(module: str) -> list[str]:
+    """Names registered by one module of this package."""
+    _load()
+    return [n for n, fn in _QUERIES.items() if fn.__module__.endswith("." + module)]
+
+
 def all_sql() -> dict[str, str]:
     _load()
     return dict(_SQL)

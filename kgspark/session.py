@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,10 +19,22 @@ SQL_SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time SQL settings the jobs rely on."""
+    """Apply the run-time SQL settings the jobs rely on, and send the package to the workers."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        # staged next to the driver; Spark's own file service hands it to the executors
+        package = Path(__file__).parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='kgspark-code-')}/kgspark", "zip", package.parent, package.name
+        )
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
     return spark
 
 
