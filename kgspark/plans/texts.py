@@ -87,7 +87,7 @@ def convert_string(t):
 @query(
     "convert_date",
     """
-SELECT event_id, strftime(make_timestamp((epoch_ms(ts) // 1) * 1000), '%Y-%m-%d %H:%M:%S.%g') AS from_ms,
+SELECT event_id, strftime(make_timestamp((epoch_us(ts) // 1000) * 1000), '%Y-%m-%d %H:%M:%S.%g') AS from_ms,
   strftime(CASE WHEN event_type <> 'view' THEN date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS from_text FROM events
 """,
 )
