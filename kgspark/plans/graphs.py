@@ -18,6 +18,7 @@ from kgspark.operators import order
 from kgspark.plans.registry import query
 from kgspark.plans.texts import MENTIONS_SQL, mention_records
 from kgspark.plans.verbs import TRADE_EDGES_SQL, trade_edges
+from kgspark.session import cut
 from kgspark.vector import topk
 
 # ---------------------------------------------------------------- trade graph
@@ -95,7 +96,7 @@ FROM w GROUP BY 1
 """,
 )
 def merge_nodes(t):
-    mentions = records.entities(mention_records(t), ["doc_id", "chunk_index"])
+    mentions = cut(records.entities(mention_records(t), ["doc_id", "chunk_index"]))
     keys = ["doc_id", "chunk_index", "record"]
     return merge.merge_nodes(mentions, keys, {"*": ("replace",), "description": ("concat", "\n")})
 
@@ -166,7 +167,7 @@ def entity_graph(t):
     unit = (F.col("doc_id") * 100000 + F.col("chunk_index")).cast("string")
     keys = ["doc_id", "chunk_index", "record"]
     ops = {"*": ("skip",), "weight": ("sum",), "source_id": ("concat", ",")}
-    merged = merge.merge_edges(mentions.withColumn("source_id", unit), keys, ops)
+    merged = merge.merge_edges(cut(mentions.withColumn("source_id", unit)), keys, ops)
     n = F.size(F.split("source_id", ","))
     return merged.select("source", "target", "page", (F.col("weight") / n).alias("per_chunk"), n.cast("long").alias("n_chunks"))
 

@@ -9,6 +9,7 @@ from kgspark.functions import convert, jsontext, numbers, strings
 from kgspark.functions import tokens as tok
 from kgspark.model import apply, offline, prompts, records
 from kgspark.plans.registry import query
+from kgspark.session import spread
 from kgspark.sources import documents
 from kgspark.text import budget, chunk
 
@@ -534,7 +535,7 @@ pairs AS (SELECT a.doc_id, a.chunk_index, a.i, a.term AS x, b.term AS y FROM w a
 
 def mention_records(t, size=_SIZE, overlap=_OVERLAP):
     """Extraction records of all documents: chunk, answer, parse."""
-    chunks = chunk.chunk_tokens(t.documents.select("doc_id", "text"), "text", size, overlap)
+    chunks = chunk.chunk_tokens(spread(t.documents.select("doc_id", "text")), "text", size, overlap)
     answers = offline.answer_extraction(chunks, "chunk", ["doc_id", "chunk_index"])
     return records.parse_records(answers, "output", ["doc_id", "chunk_index"])
 

@@ -29,16 +29,16 @@ def chunk_tokens(
     so a tail that lies wholly in the overlap still makes a chunk.
     """
     step = size - overlap
-    parts = F.transform(
-        F.sequence(F.lit(0), F.size("__tokens") - 1, F.lit(step)),
-        lambda start: F.slice("__tokens", start + 1, F.lit(size)),
-    )
+
+    def cut_up(tk):
+        starts = F.sequence(F.lit(0), F.size(tk) - 1, F.lit(step))
+        return F.when(F.size(tk) > 0, F.transform(starts, lambda start: F.slice(tk, start + 1, F.lit(size))))
+
+    # the outer transform binds the token array, so that it is made once per text
+    parts = F.flatten(F.transform(F.array(tok.tokens(F.col(column), tokenizer)), cut_up))
     kept = [c for c in df.columns if c != column]
-    return (
-        df.withColumn("__tokens", tok.tokens(F.col(column), tokenizer))
-        .filter(F.size("__tokens") > 0)
-        .select(*kept, F.posexplode(parts).alias("chunk_index", "__part"))
-        .select(*kept, "chunk_index", tok.join(F.col("__part")).alias("chunk"), F.size("__part").alias("n_tokens"))
+    return df.select(*kept, F.posexplode(parts).alias("chunk_index", "__part")).select(
+        *kept, "chunk_index", tok.join(F.col("__part")).alias("chunk"), F.size("__part").alias("n_tokens")
     )
 
 
@@ -68,18 +68,15 @@ def chunk_group(
     first = F.greatest(F.lit(0).cast("long"), F.floor((start - size) / step) + 1)
     last = F.floor((F.col("__end") - 1) / step)
 
-    def piece(k):
+    def piece(k, tk):
         low = F.greatest(start, k * step)
         high = F.least(F.col("__end"), k * step + size)
-        part = F.slice("__tokens", (low - start + 1).cast("int"), F.greatest(high - low, F.lit(0).cast("long")).cast("int"))
+        part = F.slice(tk, (low - start + 1).cast("int"), F.greatest(high - low, F.lit(0).cast("long")).cast("int"))
         return F.struct(k.alias("chunk_index"), part.alias("part"))
 
-    pieces = (
-        placed.withColumn("__tokens", tok.tokens(F.col("__text"), tokenizer))
-        .withColumn("__pieces", F.transform(F.sequence(first, last), piece))
-        .select(*keys, *order, "__id", F.inline("__pieces"))
-        .filter(F.size("part") > 0)
-    )
+    bound = F.array(tok.tokens(F.col("__text"), tokenizer))  # made once per text
+    cuts = F.flatten(F.transform(bound, lambda tk: F.transform(F.sequence(first, last), lambda k: piece(k, tk))))
+    pieces = placed.select(*keys, *order, "__id", F.inline(cuts)).filter(F.size("part") > 0)
     row = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col("__id").alias("id"), "part")
     return (
         pieces.groupBy(*keys, "chunk_index")
