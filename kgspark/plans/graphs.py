@@ -308,7 +308,8 @@ def label_propagation(t):
 
 @query("communities_leiden")
 def communities_leiden(t):
-    return comm.hierarchical_communities(term_edges(t))
+    # the first split and one more
+    return comm.hierarchical_communities(term_edges(t), max_levels=2, passes=4)
 
 
 @query(

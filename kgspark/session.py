@@ -62,7 +62,11 @@ def cut(df: DataFrame) -> DataFrame:
     folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    # kept while it is written, so that the last stage is not worked out twice
+    kept = df.persist()
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
