@@ -80,9 +80,14 @@ def repair(c: Column) -> Column:
     return F.trim(F.regexp_replace(closed, r"[\r\n]+", " "))
 
 
+def is_json(c: Column) -> Column:
+    """The text parses; repeated keys are allowed."""
+    return F.get_json_object(c, "$").isNotNull()
+
+
 def parse(c: Column, schema: str) -> Column:
     """Struct or map from object text; null when it does not parse as an object."""
-    return F.when(F.try_parse_json(c).isNotNull() & F.startswith(F.trim(c), F.lit("{")), F.from_json(c, schema))
+    return F.when(is_json(c) & F.startswith(F.trim(c), F.lit("{")), F.from_json(c, schema))
 
 
 def latest_keys(c: Column) -> Column:
@@ -95,7 +100,9 @@ def latest_keys(c: Column) -> Column:
         F.regexp_extract_all(c, F.lit(KEY_VALUE), F.lit(2)), lambda v: F.regexp_replace(F.trim(v), '^"|"$', "")
     )
     pairs = F.map_from_arrays(keys, values)
-    return F.coalesce(F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, MAP_TYPE)), pairs)
+    # a parsed map may hold a key twice; built anew, the session's LAST_WIN policy keeps the last
+    parsed = F.map_from_entries(F.map_entries(F.from_json(c, MAP_TYPE)))
+    return F.coalesce(F.when(is_json(c), parsed), pairs)
 
 
 def typed(value: Column, dtype: str) -> Column:

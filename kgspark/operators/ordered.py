@@ -56,14 +56,17 @@ def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: i
     return cut(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+def _null_safe_join(left: DataFrame, right: DataFrame, names: Sequence[str], few: bool = True) -> DataFrame:
+    """Left join on keys that may be null; ``few`` says the right side is bounded by the hot groups' blocks."""
     renamed = right
     for k in names:
         renamed = renamed.withColumnRenamed(k, f"__r_{k}")
+    if not names:
+        return left.join(F.broadcast(right))  # one row
     cond = F.lit(True)
     for k in names:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return left.join(F.broadcast(renamed), cond, "left").drop(*[f"__r_{k}" for k in names])
+    return left.join(F.broadcast(renamed) if few else renamed, cond, "left").drop(*[f"__r_{k}" for k in names])
 
 
 def _as_orders(order: Sequence[str | Column]) -> list[Column]:
@@ -183,10 +186,7 @@ def quantiles(
     )
     upto = running_sums(counts, {"__upto": F.col("__n")}, keys, ["__x"], limit, block_rows)
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    if keys:
-        placed = upto.join(totals, list(keys))
-    else:
-        placed = upto.join(F.broadcast(totals))  # one row
+    placed = _null_safe_join(upto, totals, keys, few=not keys)
     picks = []
     for name, p in probabilities.items():
         at = F.lit(float(p)) * (F.col("__total") - 1)

@@ -47,7 +47,7 @@ def _positional(df, operation, to, order, column, keys, limit, block_rows):
     if operation in ("row_number", "rank"):
         return out
     sizes = df.groupBy(*keys).agg(F.sum(seen).alias("__n"))
-    out = out.join(sizes, list(keys)) if keys else out.join(F.broadcast(sizes))  # one row
+    out = ordered._null_safe_join(out, sizes, keys, few=not keys)
     n = F.col("__n").cast("double")
     ratio = F.col(to) / n if operation == "cume_dist" else F.try_divide(F.col(to) - 1, n - 1)
     return out.withColumn(to, ratio).drop("__n")
@@ -65,7 +65,7 @@ def _ranked(df, operation, to, order, keys, limit, block_rows):
         counts = hot.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("__n"))
         upto = ordered.running_sums(counts, {"__upto": F.col("__n")}, keys, order, limit, block_rows)
         sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-        upto = upto.join(sizes, list(keys)) if keys else upto.join(F.broadcast(sizes))  # one row
+        upto = ordered._null_safe_join(upto, sizes, keys)
         before = F.col("__upto") - F.col("__n")
         value = {
             "rank": before + 1,
