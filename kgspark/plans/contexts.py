@@ -72,7 +72,10 @@ def trade_context(t):
 
 
 def trade_items(t):
-    return cut(local.context_items(*trade_context(t)))
+    """(items, lines) of the trade graph."""
+    nodes, edges = trade_context(t)
+    lines = cut(local.context_lines(nodes, edges))
+    return cut(local.context_items(nodes, edges, lines)), lines
 
 
 @query(
@@ -82,24 +85,24 @@ SELECT level, community, context_size, context_size > {config.REPORT_CONTEXT_TOK
 FROM sz LEFT JOIN rd USING (level, community)""",
 )
 def local_context(t):
-    out = local.local_context(trade_items(t))
+    out = local.local_context(*trade_items(t))
     return out.select("level", "community", "context_size", "context_exceed_limit", F.md5("context_string").alias("context_md5"))
 
 
 @query("context_lines", f"{CTX} SELECT level, community, step, kind, line FROM ti")
 def context_lines(t):
-    return local.context_items(*trade_context(t)).select("level", "community", "step", "kind", "line")
+    return local.with_lines(*trade_items(t)).select("level", "community", "step", "kind", "line")
 
 
 @query("context_string", f"{CTX}, rd AS ({render_sql('tr', 'level, community')}) SELECT level, community, context_string FROM rd JOIN sz USING (level, community) WHERE context_size <= {config.REPORT_CONTEXT_TOKENS}")
 def context_string(t):
-    out = local.local_context(trade_items(t))
+    out = local.local_context(*trade_items(t))
     return out.filter("NOT context_exceed_limit").select("level", "community", "context_string")
 
 
 @query("context_trim", f"{CTX} SELECT level, community, max(step) AS last_step, sum(tokens)::BIGINT AS tokens, count(*) AS lines FROM tr GROUP BY ALL")
 def context_trim(t):
-    kept = local.trimmed_items(trade_items(t))
+    kept = local.trimmed_items(trade_items(t)[0])
     return kept.groupBy("level", "community").agg(
         F.max("step").alias("last_step"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("lines")
     )
@@ -107,7 +110,7 @@ def context_trim(t):
 
 @query("context_size", f"{CTX} SELECT level, community, context_size, context_size > 16000 AS context_exceed_limit FROM sz")
 def context_size(t):
-    return local.context_sizes(trade_items(t))
+    return local.context_sizes(trade_items(t)[0])
 
 
 def _stand_in_reports(t):
@@ -128,7 +131,7 @@ sb AS (SELECT hi.community, hi.sub_community, context_size AS local_size, len({_
 
 @query("sub_contexts", f"{CTX}, {_SUBS} SELECT community, sub_community, local_size, report_size, full_content FROM sb")
 def sub_contexts(t):
-    return _subs(t, local.context_sizes(trade_items(t))).drop("report_line")
+    return _subs(t, local.context_sizes(trade_items(t)[0])).drop("report_line")
 
 
 def _subs(t, sizes):
@@ -151,7 +154,7 @@ ch AS (SELECT o.*, CASE WHEN ck IS NOT NULL THEN CASE WHEN report_size IS NOT NU
 
 @query("mixed_choice", f"{CTX}, {_SUBS}, {_MIX} SELECT community, sub_community, k, how FROM ch")
 def mixed_choice(t):
-    subs = _subs(t, local.context_sizes(trade_items(t)))
+    subs = _subs(t, local.context_sizes(trade_items(t)[0]))
     return mixed.mixed_choice(subs, 6000).select("community", "sub_community", "k", F.col("use").alias("how"))
 
 
@@ -164,9 +167,9 @@ rd AS ({render_sql('ml', 'community')})
 SELECT community, md5(context_string) AS context_md5 FROM rd""",
 )
 def mixed_context(t):
-    items = trade_items(t)
+    items, lines = trade_items(t)
     subs = _subs(t, local.context_sizes(items))
-    return mixed.mixed_context(subs, items, 1, 6000).select("community", F.md5("context_string").alias("context_md5"))
+    return mixed.mixed_context(subs, items, lines, 1, 6000).select("community", F.md5("context_string").alias("context_md5"))
 
 
 @query(
@@ -175,9 +178,9 @@ def mixed_context(t):
 SELECT community, md5(coalesce(context_string, '')) AS context_md5 FROM sz LEFT JOIN rd USING (community) WHERE level = 2""",
 )
 def level_contexts(t):
-    items = trade_items(t)
+    items, lines = trade_items(t)
     sizes = local.context_sizes(items)
-    out = mixed.level_contexts(items, sizes, community_hierarchy(trade_membership(t)), _stand_in_reports(t), 2)
+    out = mixed.level_contexts(items, lines, sizes, community_hierarchy(trade_membership(t)), _stand_in_reports(t), 2)
     return out.select("community", F.md5("context_string").alias("context_md5"))
 
 

@@ -363,7 +363,7 @@ SELECT community AS id, 'Community ' || community AS title, level, community AS
 FROM x GROUP BY ALL""",
 )
 def communities_table(t):
-    out = tables.communities_table(trade_edges(t), trade_units(t), trade_membership(t), page_rows=5000)
+    out = tables.communities_table(trade_edges(t), cut(trade_units(t)), trade_membership(t), page_rows=5000)
     listed = lambda c: F.md5(F.array_join(c, ","))
     return out.select(
         "id",
@@ -413,7 +413,7 @@ SELECT source, target, weight, source || ' buys from ' || target AS description,
 FROM e JOIN u USING (source, target) JOIN deg a ON a.title = source JOIN deg b ON b.title = target""",
 )
 def relationships_table(t):
-    out = tables.relationships_table(described_edges(t), trade_units(t))
+    out = tables.relationships_table(cut(described_edges(t)), cut(trade_units(t)))
     return out.withColumn("text_unit_ids", F.array_join("text_unit_ids", ","))
 
 

@@ -26,22 +26,25 @@ def small_graph(spark):
 
 @pytest.mark.parametrize("limit", [5, 12, 20, 25, 33, 1000])
 def test_trimmed_context_stays_within_the_limit(spark, limit):
-    items = local.context_items(*small_graph(spark)).cache()
-    out = local.local_context(items, limit).withColumn("n", tok.count(F.col("context_string"))).collect()
+    nodes, edges = small_graph(spark)
+    lines = local.context_lines(nodes, edges)
+    items = local.context_items(nodes, edges, lines).cache()
+    out = local.local_context(items, lines, limit).withColumn("n", tok.count(F.col("context_string"))).collect()
     for r in out:
         assert r["n"] <= limit
         assert r["context_exceed_limit"] == (r["context_size"] > limit)
         if not r["context_exceed_limit"]:
             assert r["n"] == r["context_size"]
     # node number 0 is there
-    whole = [r for r in local.local_context(items, 1000).collect() if r["level"] == 0][0]["context_string"]
+    whole = [r for r in local.local_context(items, lines, 1000).collect() if r["level"] == 0][0]["context_string"]
     assert "\n0,a," in whole and whole.index("0,a,b") < whole.index("5,e,f")
 
 
 def test_claims_get_their_section(spark):
     nodes, edges = small_graph(spark)
     claims = spark.createDataFrame([(1, "b", "T", "S", "said")], "human_readable_id int, subject_id string, type string, status string, description string")
-    text = local.local_context(local.context_items(nodes, edges, claims), 1000).filter("level = 0").first()["context_string"]
+    lines = local.context_lines(nodes, edges, claims)
+    text = local.local_context(local.context_items(nodes, edges, lines, claims), lines, 1000).filter("level = 0").first()["context_string"]
     assert "-----Claims-----\nhuman_readable_id,subject_id,type,status,description\n1,b,T,S,said\n" in text
 
 
