@@ -70,13 +70,13 @@ def join_semi(t):
 @query(
     "join_natural",
     """
-SELECT key, name, region FROM (SELECT n_regionkey AS key, n_name AS name FROM nation)
-NATURAL JOIN (SELECT r_regionkey AS key, r_name AS region FROM region)
+SELECT cust, o_orderkey, c_name FROM (SELECT o_custkey AS cust, o_orderkey FROM orders)
+NATURAL JOIN (SELECT c_custkey AS cust, c_name FROM customer)
 """,
 )
 def join_natural(t):
-    left = t.nation.select(F.col("n_regionkey").alias("key"), F.col("n_name").alias("name"))
-    return joins.join(left, t.region.select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("region")))
+    left = t.orders.select(F.col("o_custkey").alias("cust"), "o_orderkey")
+    return joins.join(left, t.customer.select(F.col("c_custkey").alias("cust"), "c_name"))
 
 
 @query(

@@ -111,9 +111,9 @@ def drop_columns(t):
     return columns.drop(t.part, ["p_size", "p_retailprice"])
 
 
-@query("copy_column", "SELECT n_nationkey, n_name, n_regionkey, n_name AS label FROM nation")
+@query("copy_column", "SELECT c_custkey, c_name, c_name AS label FROM customer")
 def copy_column(t):
-    return columns.copy(t.nation, "label", "n_name")
+    return columns.copy(t.customer.select("c_custkey", "c_name"), "label", "c_name")
 
 
 @query("fill_constant", "SELECT c_custkey, 'known' AS status FROM customer")
