@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import table
 from kgspark.llm.decontaminate import contaminated
 from kgspark.llm.exact_dedup import exact_duplicates
+from kgspark.llm import language_id, packing
 from kgspark.llm.line_dedup import drop_repeated_lines
 from kgspark.llm.sharding import SHARDS, TABLE_SIZE, lookup_table, place
 
@@ -107,3 +109,18 @@ SHARD_NAMES = [f"shard-{k:03d}" for k in range(SHARDS)]
 )
 def sharding(spark: SparkSession, folder: str) -> DataFrame:
     return place(table(spark, folder, "documents").select("doc_id"), "doc_id", SHARD_NAMES)
+
+
+@query("op8_packing")
+def packed(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query("op10_language_id")
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_id.fit(docs)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == language_id.HELD_OUT, F.lit(False))
+    judged = language_id.with_language(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", "language.bits_per_byte")
