@@ -11,6 +11,7 @@ from kgspark.llm.decontaminate import contaminated
 from kgspark.llm.exact_dedup import exact_duplicates
 from kgspark.llm import language_id, packing
 from kgspark.llm.line_dedup import drop_repeated_lines
+from kgspark.llm.ngram_join import near_duplicates
 from kgspark.llm.sharding import SHARDS, TABLE_SIZE, lookup_table, place
 
 QUERIES = {}
@@ -124,3 +125,34 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == language_id.HELD_OUT, F.lit(False))
     judged = language_id.with_language(docs.select("doc_id", "text"), model)
     return judged.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", "language.bits_per_byte")
+
+
+WORDS = f"list_filter(regexp_split_to_array({KEY.format('text')}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+@query(
+    "op1_ngram_join",
+    f"""
+    WITH RECURSIVE words AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+    sh AS (
+        SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3
+            THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+        FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * common >= 90 * (x.n + y.n - common)),
+    reach AS (
+        SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+    degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.low, d.doc_id)) AS component_id,
+           coalesce(g.n, 0) AS n_links
+    FROM documents d LEFT JOIN sizes n USING (doc_id) LEFT JOIN lowest l ON l.a = d.doc_id LEFT JOIN degree g ON g.a = d.doc_id
+    """,
+)
+def ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), words=3, percent=90)
