@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import table
 from kgspark.llm.decontaminate import contaminated
 from kgspark.llm.exact_dedup import exact_duplicates
-from kgspark.llm import language_id, packing
+from kgspark.llm import language_id, packing, secret_scan
 from kgspark.llm.line_dedup import drop_repeated_lines
 from kgspark.llm.ngram_join import near_duplicates
 from kgspark.llm.sharding import SHARDS, TABLE_SIZE, lookup_table, place
+from kgspark.llm.url_filter import judge_urls
 
 QUERIES = {}
 SQL = {}
@@ -156,3 +157,36 @@ WORDS = f"list_filter(regexp_split_to_array({KEY.format('text')}, '[\\x20\\x09-\
 )
 def ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), words=3, percent=90)
+
+
+def _span_text(kinds: str) -> str:
+    return f"array_join(transform(filter(secrets, s -> s.kind IN ({kinds})), s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+
+
+BASE_KINDS = "'assign', 'access', 'hex'"
+
+
+@query("op2_secret_scan")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs, secret_scan.fit(docs))
+    return found.select(
+        "doc_id",
+        *[F.expr(f"cast(size(filter(secrets, s -> s.kind = '{k}')) AS long)").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(F.expr(_span_text(BASE_KINDS)).cast("binary"), 256).alias("base_sha256"),
+        F.expr(_span_text(BASE_KINDS + ", 'model'")).alias("spans"),
+    )
+
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query("op9_url_filter")
+def urls(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"), URL_RULES)
