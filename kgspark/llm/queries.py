@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import table
 from kgspark.llm.decontaminate import contaminated
 from kgspark.llm.exact_dedup import exact_duplicates
-from kgspark.llm import language_id, packing, secret_scan
+from kgspark.llm import language_id, license_scan, packing, secret_scan
 from kgspark.llm.line_dedup import drop_repeated_lines
 from kgspark.llm.ngram_join import near_duplicates
 from kgspark.llm.sharding import SHARDS, TABLE_SIZE, lookup_table, place
@@ -190,3 +190,9 @@ URL_RULES = [
 @query("op9_url_filter")
 def urls(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
+@query("op3_license_scan")
+def licenses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return license_scan.find_licenses(docs, license_scan.fit(docs))
