@@ -28,6 +28,8 @@ def _stream_session(spark: SparkSession) -> SparkSession:
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(key, spark.conf.get(key))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", DISK_STATE)
+    # many small stores must not reserve space ahead
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     return own
 
 
