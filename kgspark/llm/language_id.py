@@ -247,6 +247,8 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
 
 def in_known_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` without texts in none of the learned languages: ``und``, or coded in 8 bits a byte or more."""
-    judged = with_language(docs, model, text_col, "_language")
-    kept = (F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.bits_per_byte") < MAX_BITS_PER_BYTE)
-    return judged.filter(kept).select(*docs.columns)
+    out = "language"
+    while out in docs.columns:
+        out += "_"
+    kept = (F.col(f"{out}.lang_pred") != UNKNOWN) & (F.col(f"{out}.bits_per_byte") < MAX_BITS_PER_BYTE)
+    return with_language(docs, model, text_col, out).filter(kept).select(*docs.columns)
