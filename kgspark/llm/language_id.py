@@ -142,9 +142,6 @@ def build_model(languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.
     digits = symbol[digits].astype(np.int64)
     size = len(languages)
     prob = np.full((1, a, size), 1 / 256)
-    # what all symbols share below the empty context, those never seen included
-    spare = 1.0
-    numbers = np.zeros(1, np.int64)
     context = np.zeros(1, np.int32)
     for order in range(ORDER + 1):
         key = np.zeros(len(code), np.int64)
@@ -164,9 +161,9 @@ def build_model(languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.
         parent = context[kept % a ** max(0, order - 1)] if order else np.zeros(len(kept), np.int32)
         lower = prob[parent]
         unseen = np.where(count > 0, 0.0, lower)
-        left = unseen.sum(axis=1, keepdims=True) if order else spare - (distinct / 256)
+        left = 1 - np.where(count > 0, lower, 0.0).sum(axis=1, keepdims=True)
         with np.errstate(divide="ignore", invalid="ignore"):
-            escaped = np.where(left > 0, unseen / left, 0.0) * distinct / (total + distinct)
+            escaped = np.where(left > 1e-9, unseen / left, 0.0) * distinct / (total + distinct)
             own = np.where(count > 0, count / (total + distinct), escaped)
         own = np.where(total > 0, own, lower)
         base = len(prob) if order else 0
@@ -176,7 +173,6 @@ def build_model(languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.
             longer[:] = np.tile(context, a)
         longer[kept] = base + np.arange(len(kept))
         context = longer
-        numbers = kept
     bits = -np.log2(np.maximum(prob, 1e-12)).astype(np.float32).reshape(-1, size)
     return Model(languages, symbol, a, context, bits)
 
