@@ -37,22 +37,28 @@ def unescape_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
 
+def unescape(c: Column) -> Column:
+    """Every entity unescaped; a text without an ampersand is passed on as null and taken as it is."""
+    marked = F.when(F.contains(c, F.lit("&")), c)
+    return F.coalesce(unescape_all(marked), c)
+
+
 @F.pandas_udf(T.StringType())
 def compose(texts: pd.Series) -> pd.Series:
     """Unicode NFC form."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def clean_str(c: Column, all_entities: bool = False) -> Column:
-    """Trim, unescape, drop control characters."""
+def clean_str(c: Column, all_entities: bool = True) -> Column:
+    """Trim, unescape, drop control characters. Rows without an ampersand skip the full table of entities."""
     trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
-    plain = unescape_all(trimmed) if all_entities else unescape_common(trimmed)
+    plain = unescape(trimmed) if all_entities else unescape_common(trimmed)
     return F.regexp_replace(plain, CONTROL_CHARACTERS, "")
 
 
 def normalize_name(c: Column) -> Column:
     """Upper case, trimmed, unescaped: the form in which node names are compared."""
-    return unescape_common(F.upper(F.regexp_replace(c, r"^\s+|\s+$", "")))
+    return unescape(F.upper(F.regexp_replace(c, r"^\s+|\s+$", "")))
 
 
 def strip_symbols(c: Column) -> Column:

@@ -143,26 +143,36 @@ def communities_table(edges: DataFrame, edge_units: DataFrame, membership: DataF
     )
 
 
-def unit_entities(node_units: DataFrame) -> DataFrame:
-    """text unit → ids of its entities."""
+def unit_entities(node_units: DataFrame, page_rows: int | None = None) -> DataFrame:
+    """text unit → ids of its entities, in pages."""
     pairs = node_units.select("text_unit_id", entity_id(F.col("title")).alias("e")).distinct()
-    return ordered.collect_pages(pairs, F.col("e"), "entity_ids", ["text_unit_id"], ["e"]).withColumnRenamed("text_unit_id", "id")
+    pages = ordered.collect_pages(pairs, F.col("e"), "entity_ids", ["text_unit_id"], ["e"], page_rows)
+    return pages.withColumnRenamed("text_unit_id", "id")
 
 
-def unit_relationships(edge_units: DataFrame) -> DataFrame:
-    """text unit → ids of its relationships."""
+def unit_relationships(edge_units: DataFrame, page_rows: int | None = None) -> DataFrame:
+    """text unit → ids of its relationships, in pages."""
     pairs = edge_units.select("text_unit_id", relationship_id(F.col("source"), F.col("target")).alias("r")).distinct()
-    return ordered.collect_pages(pairs, F.col("r"), "relationship_ids", ["text_unit_id"], ["r"]).withColumnRenamed(
-        "text_unit_id", "id"
-    )
+    pages = ordered.collect_pages(pairs, F.col("r"), "relationship_ids", ["text_unit_id"], ["r"], page_rows)
+    return pages.withColumnRenamed("text_unit_id", "id")
 
 
 def final_text_units(units: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:
-    """Text units with both id lists. A unit is one chunk, so its lists fit one page."""
-    e = entities.filter("page = 0").select("id", "entity_ids")
-    r = relationships.filter("page = 0").select("id", "relationship_ids")
-    return units.join(e, "id", "left").join(r, "id", "left").select(
-        "id", F.col("chunk").alias("text"), "n_tokens", "document_ids", "entity_ids", "relationship_ids"
+    """Text units with both id lists, a row for every page that either list has; a unit without lists has page 0."""
+    e = entities.select("id", "page", "entity_ids", F.lit(None).cast("array<string>").alias("relationship_ids"))
+    r = relationships.select("id", "page", F.lit(None).cast("array<string>").alias("entity_ids"), "relationship_ids")
+    # one row of each kind per page at most
+    lists = e.unionByName(r).groupBy("id", "page").agg(
+        F.max("entity_ids").alias("entity_ids"), F.max("relationship_ids").alias("relationship_ids")
+    )
+    return units.join(lists, "id", "left").select(
+        "id",
+        F.coalesce("page", F.lit(0).cast("long")).alias("page"),
+        F.col("chunk").alias("text"),
+        "n_tokens",
+        "document_ids",
+        "entity_ids",
+        "relationship_ids",
     )
 
 

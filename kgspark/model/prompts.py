@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,18 +9,6 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import ordered
 
-# Default question templates per topic; pass your own to ``questions``.
-QUESTION_TEMPLATES = (
-    "Which symptoms go with {topic}?",
-    "Which causes lead to {topic}?",
-    "Which of a patient's symptoms matter for {topic}?",
-    "Which clinical signs help to find the cause of {topic}?",
-    "Which laboratory data help to find the cause of {topic}?",
-    "Which clinical characteristics help to find the cause of {topic}?",
-    "Which parts of a patient's own history help to find the cause of {topic}?",
-)
-
-
 def render(template: str | Column, variables: dict[str, Column]) -> Column:
     """Put each variable in the place of its {name}."""
     base = F.lit(template) if isinstance(template, str) else template
@@ -44,10 +31,14 @@ def messages(system: Column | None, history: Column | None, user: Column) -> Col
     return new if system is None else F.concat(F.array(message("system", system)), new)
 
 
-def questions(topics: DataFrame, topic: str, templates: Sequence[str] = QUESTION_TEMPLATES) -> DataFrame:
-    """One row per topic and template."""
-    listed = F.array(*[F.lit(t) for t in templates])
-    return topics.select("*", F.posexplode(listed).alias("question_no", "__t")).select(
+def questions(topics: DataFrame, topic: str, templates: DataFrame, number: str, template: str) -> DataFrame:
+    """One row per topic and template; ``templates`` holds the caller's texts with ``{topic}`` and their numbers.
+
+    A job has a handful of templates, and any number of topics: the side with fewer bytes is
+    broadcast by Spark if it is small, else both are dealt out.
+    """
+    listed = templates.select(F.col(number).cast("int").alias("question_no"), F.col(template).alias("__t"))
+    return topics.crossJoin(listed).select(
         *topics.columns, "question_no", render(F.col("__t"), {"topic": F.col(topic)}).alias("question")
     )
 

@@ -42,6 +42,9 @@ def aggregate(df: DataFrame, specs: Sequence[dict], groupby: Sequence[str] | Non
     parts = []
     if simple:
         parts.append(df.groupBy(*keys).agg(*[_expression(s).alias(s["to"]) for s in simple]))
+    elif keys and shaped[0]["operation"] in ("median", "mode"):
+        # a group whose values are all null has neither, but stays
+        parts.append(df.select(*keys).distinct())
     parts += [_shaped(df, s, keys) for s in shaped]
     out = parts[0]
     for p in parts[1:]:

@@ -439,15 +439,36 @@ def text_unit_relationships(t):
     "final_text_units",
     f"""{TRADE}, a AS (SELECT id, string_agg(i, ',' ORDER BY i) AS entity_ids FROM (SELECT DISTINCT text_unit_id AS id, md5(unnest([source, target])) AS i FROM eu) GROUP BY 1),
 b AS (SELECT id, string_agg(i, ',' ORDER BY i) AS relationship_ids FROM (SELECT DISTINCT text_unit_id AS id, {RID.format('eu')} AS i FROM eu) GROUP BY 1)
-SELECT 'order ' || o_orderkey AS id, o_orderpriority AS text, 2 AS n_tokens, 'customer ' || o_custkey AS document_ids, entity_ids, relationship_ids
+SELECT 'order ' || o_orderkey AS id, 0::BIGINT AS page, o_orderpriority AS text, 2 AS n_tokens, 'customer ' || o_custkey AS document_ids, entity_ids, relationship_ids
 FROM orders LEFT JOIN a ON a.id = 'order ' || o_orderkey LEFT JOIN b ON b.id = 'order ' || o_orderkey""",
 )
-def final_text_units(t):
-    units = trade_text_units(t)
-    out = tables.final_text_units(units, tables.unit_entities(trade_node_units(t)), tables.unit_relationships(trade_units(t)))
+def final_text_units(t, page_rows=None):
+    units, edge_units = trade_text_units(t), cut(trade_units(t))
+    node_units = edge_units.select("text_unit_id", F.explode(F.array("source", "target")).alias("title"))
+    out = tables.final_text_units(
+        units, tables.unit_entities(node_units, page_rows), tables.unit_relationships(edge_units, page_rows)
+    )
     return out.withColumns({c: F.array_join(c, ",") for c in ("document_ids", "entity_ids", "relationship_ids")})
 
 
+def _in_pages(ids: str) -> str:
+    return f"SELECT id, (n - 1) // 2 AS page, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM ({ids})) GROUP BY 1, 2"
+
+
+@query(
+    "final_text_units_paged",
+    f"""{TRADE}, a AS ({_in_pages("SELECT DISTINCT text_unit_id AS id, md5(unnest([source, target])) AS i FROM eu")}),
+b AS ({_in_pages(f"SELECT DISTINCT text_unit_id AS id, {RID.format('eu')} AS i FROM eu")}),
+p AS (SELECT id, page FROM a UNION SELECT id, page FROM b)
+SELECT 'order ' || o_orderkey AS id, coalesce(p.page, 0)::BIGINT AS page, o_orderpriority AS text, 2 AS n_tokens,
+  'customer ' || o_custkey AS document_ids, a.ids AS entity_ids, b.ids AS relationship_ids
+FROM orders LEFT JOIN p ON p.id = 'order ' || o_orderkey LEFT JOIN a ON a.id = p.id AND a.page = p.page LEFT JOIN b ON b.id = p.id AND b.page = p.page""",
+)
+def final_text_units_paged(t):
+    # pages of two ids, so that most units have several
+    return final_text_units(t, 2)
+
+
 def trade_text_units(t):
     """Orders as text units of their customers."""
     return t.orders.select(

@@ -129,9 +129,14 @@ def answer_questions(index: dict[str, DataFrame], questions: DataFrame, models:
     return search.global_search(questions, chosen, models.answer, models.summarize)
 
 
-def feature_job(index: dict[str, DataFrame], topics: DataFrame, topic: str, to_spec: Chat, models: Models | None = None) -> DataFrame:
-    """topic, feature, dtype: questions on all topics, their answers, features from the answers."""
-    asked = prompts.questions(topics.select(topic).distinct(), topic)
+def feature_job(
+    index: dict[str, DataFrame], topics: DataFrame, topic: str, templates: DataFrame, to_spec: Chat, models: Models | None = None
+) -> DataFrame:
+    """topic, feature, dtype: questions on all topics, their answers, features from the answers.
+
+    ``templates`` holds question_no and template.
+    """
+    asked = prompts.questions(topics.select(topic).distinct(), topic, templates, "question_no", "template")
     keyed = asked.withColumn("question_id", F.concat_ws("#", F.col(topic), F.col("question_no").cast("string")))
     answers = answer_questions(index, keyed.select("question_id", "question"), models)
     told = prompts.prior_knowledge(answers.join(keyed.select("question_id", topic, "question_no"), "question_id"), topic, "question_no", "response")

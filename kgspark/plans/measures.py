@@ -74,6 +74,11 @@ r AS (SELECT feature, abs(sum(a) OVER (PARTITION BY feature ORDER BY v) / sum(a)
   - sum(b) OVER (PARTITION BY feature ORDER BY v) / sum(b) OVER (PARTITION BY feature)) AS gap FROM c)
 SELECT feature, 'rmse' AS metric, round(sqrt(avg((x - y) * (x - y))), 5) AS value FROM f GROUP BY 1
 UNION ALL SELECT feature, 'ks', round(max(gap), 5) FROM r GROUP BY 1
+UNION ALL SELECT feature, 'p_value', round(CASE WHEN lam < 0.2 THEN 1 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101),
+  lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * lam * lam))))) END, 5)
+  FROM (SELECT feature, sqrt(n * n / (n + n)) * ks AS lam FROM (SELECT feature, max(gap) AS ks FROM r GROUP BY 1) JOIN (SELECT feature, count(*)::DOUBLE AS n FROM f GROUP BY 1) USING (feature))
+UNION ALL SELECT feature, 'js', round(sqrt(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 5)
+  FROM (SELECT feature, x / sum(x) OVER (PARTITION BY feature) AS p, y / sum(y) OVER (PARTITION BY feature) AS q FROM f) GROUP BY 1
 """,
 )
 def metrics_table(t):
@@ -86,16 +91,16 @@ def metrics_table(t):
         "quantity": by_order.select(F.col("q").alias("x"), F.col("m").alias("y")),
         "rate": by_order.select(F.col("t").alias("x"), F.col("d").alias("y")),
     }
-    out = distribution.metrics_table(features).filter(F.col("metric").isin("rmse", "ks"))
-    return out.withColumn("value", F.round("value", 5))
+    return distribution.metrics_table(features).withColumn("value", F.round("value", 5))
 
 
 @query(
     "histogram",
     """
-WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events)
-SELECT bin, round(any_value(lo + bin * (hi - lo) / 20), 6) AS low, round(any_value(lo + (bin + 1) * (hi - lo) / 20), 6) AS high, count(*) AS n
-FROM (SELECT least(floor((value - lo) / ((hi - lo) / 20))::INTEGER, 19) AS bin, lo, hi FROM events, m) GROUP BY 1
+WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events), b AS (SELECT unnest(range(20))::INTEGER AS bin),
+c AS (SELECT least(floor((value - lo) / ((hi - lo) / 20))::INTEGER, 19) AS bin, count(*) AS n FROM events, m GROUP BY 1)
+SELECT bin, round(lo + bin * (hi - lo) / 20, 6) AS low, round(lo + (bin + 1) * (hi - lo) / 20, 6) AS high, coalesce(n, 0) AS n
+FROM m CROSS JOIN b LEFT JOIN c USING (bin)
 """,
 )
 def histogram(t):
@@ -116,6 +121,22 @@ def density_grid(t):
     return distribution.density_grid(t.events, "value").withColumns({"x": F.round("x", 6), "density": F.round("density", 8)})
 
 
+@query(
+    "measures_degenerate",
+    """
+SELECT 'histogram' AS measure, 20 AS n, (SELECT count(*) FROM events)::DOUBLE AS value
+UNION ALL SELECT 'density_grid', 0, NULL UNION ALL SELECT 'js_distance', 1, NULL
+""",
+)
+def measures_degenerate(t):
+    """Constant columns and vectors that sum to zero."""
+    flat = t.events.select(F.lit(3.0).alias("value"), F.lit(0.0).alias("x"), F.col("value").alias("y"))
+    bins = distribution.histogram(flat, "value").agg(F.lit("histogram").alias("measure"), F.count(F.lit(1)).cast("int").alias("n"), F.sum("n").cast("double").alias("value"))
+    grid = distribution.density_grid(flat, "value").agg(F.lit("density_grid").alias("measure"), F.count(F.lit(1)).cast("int").alias("n"), F.sum("density").alias("value"))
+    js = distribution.js_distance(flat).agg(F.lit("js_distance").alias("measure"), F.count(F.lit(1)).cast("int").alias("n"), F.max("js").alias("value"))
+    return bins.unionByName(grid).unionByName(js)
+
+
 # ---------------------------------------------------------------- agreement with experts
 
 _COLUMNS = ["plausibility", "relevance"]
@@ -185,6 +206,27 @@ def agreement_corr(t):
     return out.withColumns({c: F.round(c, 6) for c in ("corr_plausibility", "corr_relevance")})
 
 
+@query(
+    "agreement_corr_missing",
+    f"""WITH {_SCORES}, {_SELECTED}, g AS (SELECT DISTINCT feature_set, model FROM se),
+j AS (SELECT feature_set, model, CASE WHEN feature LIKE 'brand#1%' THEN NULL ELSE plausibility END AS plausibility,
+    1e6 + CASE WHEN feature LIKE '%tin%' THEN NULL ELSE relevance END AS relevance, CASE WHEN se.feature IS NULL THEN 1 ELSE 4 END AS y
+  FROM g JOIN av USING (feature_set) JOIN sc USING (feature) LEFT JOIN se USING (feature_set, model, feature))
+SELECT feature_set, model, round(corr(plausibility, y), 6) AS corr_plausibility, round(corr(relevance, y), 6) AS corr_relevance FROM
+  (SELECT feature_set, model, plausibility, relevance, y FROM j) GROUP BY 1, 2""",
+)
+def agreement_corr_missing(t):
+    """Scores missing in either column, and one column far from zero."""
+    selected, available = _selections(t)
+    scores = _scores(t).select(
+        "feature",
+        F.when(~F.col("feature").like("brand#1%"), F.col("plausibility")).alias("plausibility"),
+        (1e6 + F.when(~F.col("feature").like("%tin%"), F.col("relevance"))).alias("relevance"),
+    )
+    out = agreement.agreement_corr(scores, selected, available, _COLUMNS)
+    return out.withColumns({c: F.round(c, 6) for c in ("corr_plausibility", "corr_relevance")})
+
+
 @query(
     "alignment_ratio",
     f"""WITH {_SCORES}, {_SELECTED}, im AS (SELECT feature FROM sc WHERE (plausibility + relevance) / 2 >= 2.55)

@@ -145,6 +145,22 @@ _agg_query("agg_stddev_pop", "stdevp", "stddev_pop(q)", ("l_suppkey",), rounded=
 _agg_query("agg_variance", "variance", "var_samp(q)", ("l_suppkey",), rounded=True)
 
 
+@query(
+    "agg_null_groups",
+    """
+SELECT l_suppkey, median(q) AS mid, min(q) FILTER (n = top) AS often FROM (
+  SELECT l_suppkey, q, count(q) OVER (PARTITION BY l_suppkey, q) AS n FROM (SELECT l_suppkey, CASE WHEN l_suppkey % 3 > 0 THEN l_quantity END AS q FROM lineitem))
+JOIN (SELECT l_suppkey, max(n) AS top FROM (SELECT l_suppkey, q, count(q) AS n FROM (
+  SELECT l_suppkey, CASE WHEN l_suppkey % 3 > 0 THEN l_quantity END AS q FROM lineitem) GROUP BY 1, 2) GROUP BY 1) USING (l_suppkey) GROUP BY 1
+""",
+)
+def agg_null_groups(t):
+    """Median and mode, where every third group has nulls only."""
+    rows = t.lineitem.select("l_suppkey", F.when(F.col("l_suppkey") % 3 > 0, F.col("l_quantity")).alias("q"))
+    items = [{"column": "q", "operation": "median", "to": "mid"}, {"column": "q", "operation": "mode", "to": "often"}]
+    return aggregates.aggregate(rows, items, ["l_suppkey"])
+
+
 @query(
     "agg_product",
     """

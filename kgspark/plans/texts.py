@@ -136,8 +136,8 @@ def text_split(t):
 
 # ---------------------------------------------------------------- scalar text functions
 
-_UNESCAPE_SQL = """replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
-  '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"""
+_UNESCAPE_SQL = """regexp_replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+  '&#39;', ''''), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g')"""
 
 
 @query(
@@ -590,15 +590,14 @@ def summarize_lines(t):
 @query(
     "questions",
     """
-SELECT e.topic, (i - 1)::INTEGER AS question_no, replace(q[i], '{topic}', e.topic) AS question FROM (SELECT DISTINCT event_type AS topic FROM events) e,
-(SELECT ['Which symptoms go with {topic}?', 'Which causes lead to {topic}?', 'Which of a patient''s symptoms matter for {topic}?',
- 'Which clinical signs help to find the cause of {topic}?', 'Which laboratory data help to find the cause of {topic}?',
- 'Which clinical characteristics help to find the cause of {topic}?', 'Which parts of a patient''s own history help to find the cause of {topic}?'] AS q),
- (SELECT unnest(range(1, 8)) AS i)
+SELECT e.topic, r_regionkey AS question_no, 'How often is ' || e.topic || ' seen in ' || r_name || '?' AS question
+FROM (SELECT DISTINCT event_type AS topic FROM events) e, region
 """,
 )
 def questions(t):
-    return prompts.questions(t.events.select(F.col("event_type").alias("topic")).distinct(), "topic")
+    templates = t.region.select("r_regionkey", F.concat(F.lit("How often is {topic} seen in "), "r_name", F.lit("?")).alias("template"))
+    topics = t.events.select(F.col("event_type").alias("topic")).distinct()
+    return prompts.questions(topics, "topic", templates, "r_regionkey", "template")
 
 
 @query(

@@ -33,45 +33,45 @@ def harmonize(df: DataFrame, feature: str, synonyms: DataFrame) -> DataFrame:
 
 
 def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Correlation from sums; null when a side is constant."""
+    """Correlation from sums of values near zero (subtract a mean first); null when a side is constant."""
     vx = n * sxx - sx * sx
     vy = n * syy - sy * sy
-    return F.when((vx > 1e-9) & (vy > 1e-9), (n * sxy - sx * sy) / F.sqrt(vx * vy))
+    flat = 1e-12
+    return F.when((vx > flat * n * sxx) & (vy > flat * n * syy), (n * sxy - sx * sy) / F.sqrt(vx * vy))
 
 
 def agreement_corr(scores: DataFrame, selected: DataFrame, available: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature_set, model, corr_<column>: selected (4) or not (1) against the score.
 
-    Over the features that are available and scored. The sums over all
-    features are per feature set, the selected ones add to them, so features
-    and models are never paired row by row.
+    Over the features that are available and have a score in that column. The
+    sums over all features are per feature set, the selected ones add to them,
+    so features and models are never paired row by row. Scores are centred on
+    their mean first, which leaves the correlation as it is and keeps the sums
+    exact.
     """
-    base = available.distinct().join(scores, "feature")
+    means = scores.agg(*[F.avg(c).alias(f"__mean_{c}") for c in columns])
+    # one row
+    centred = scores.join(F.broadcast(means)).select("feature", *[(F.col(c) - F.col(f"__mean_{c}")).alias(c) for c in columns])
+    base = available.distinct().join(centred, "feature")
     sums = base.groupBy("feature_set").agg(
-        F.count(F.lit(1)).alias("n"),
+        *[F.count(c).alias(f"n_{c}") for c in columns],
         *[F.sum(c).alias(f"sx_{c}") for c in columns],
         *[F.sum(F.col(c) * F.col(c)).alias(f"sxx_{c}") for c in columns],
     )
     groups = selected.select("feature_set", "model").distinct()
     hits = selected.distinct().join(base, ["feature_set", "feature"]).groupBy("feature_set", "model").agg(
-        F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(f"sel_{c}") for c in columns]
+        *[F.count(c).alias(f"k_{c}") for c in columns], *[F.sum(c).alias(f"sel_{c}") for c in columns]
     )
-    zero = F.lit(0)
     joined = groups.join(sums, "feature_set").join(hits, ["feature_set", "model"], "left")
-    n, k = F.col("n"), F.coalesce("k", zero)
     gain = SELECTED - OTHER
-    sy = n * OTHER + k * gain
-    syy = n * OTHER * OTHER + k * (SELECTED * SELECTED - OTHER * OTHER)
-    return joined.select(
-        "feature_set",
-        "model",
-        *[
-            pearson(
-                n, F.col(f"sx_{c}"), sy, F.col(f"sxx_{c}"), syy, F.col(f"sx_{c}") * OTHER + F.coalesce(f"sel_{c}", zero) * gain
-            ).alias(f"corr_{c}")
-            for c in columns
-        ],
-    )
+
+    def corr(c):
+        n, k = F.col(f"n_{c}"), F.coalesce(f"k_{c}", F.lit(0))
+        sx, sel = F.col(f"sx_{c}"), F.coalesce(f"sel_{c}", F.lit(0))
+        # y counted from its lower value, so that it is 0 or ``gain``
+        return pearson(n, sx, k * gain, F.col(f"sxx_{c}"), k * gain * gain, sel * gain).alias(f"corr_{c}")
+
+    return joined.select("feature_set", "model", *[corr(c) for c in columns])
 
 
 def alignment_ratio(scores: DataFrame, selected: DataFrame, columns: Sequence[str], threshold: float = 3) -> DataFrame:
@@ -96,10 +96,8 @@ def corr_by_stratum(scores: DataFrame, selected: DataFrame, plausibility: str, r
     used = selected.select("model", "feature").distinct().join(scores, "feature")
     x, y = F.col(plausibility), F.col(relevance)
     both = used.filter(x.isNotNull() & y.isNotNull()).withColumn("stratum", F.when(y >= threshold, "high").otherwise("low"))
-    return both.groupBy("model", "stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        pearson(F.count(F.lit(1)), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)).alias("corr"),
-    )
+    # Spark's own correlation is worked out around running means; it is NaN for a constant side
+    return both.groupBy("model", "stratum").agg(F.count(F.lit(1)).alias("n"), F.nanvl(F.corr(x, y), F.lit(None)).alias("corr"))
 
 
 def aligned_scores(scores: DataFrame, selected: DataFrame, columns: Sequence[str], threshold: float = 3) -> DataFrame:

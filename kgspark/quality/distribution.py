@@ -56,15 +56,19 @@ def ks_pvalue(ks: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
 
 
 def js_distance(pairs: DataFrame) -> DataFrame:
-    """Jensen–Shannon distance (base 2) of the two value vectors, scaled to sum 1."""
+    """Jensen–Shannon distance (base 2) of the two value vectors, scaled to sum 1; null if one sums to 0."""
     total = pairs.agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
-    scaled = pairs.join(F.broadcast(total)).select((F.col("x") / F.col("sx")).alias("p"), (F.col("y") / F.col("sy")).alias("q"))  # one row
+    scaled = pairs.join(F.broadcast(total)).select(  # one row
+        F.try_divide("x", "sx").alias("p"), F.try_divide("y", "sy").alias("q")
+    )
     m = (F.col("p") + F.col("q")) / 2
 
     def part(c):
-        return F.when(c > 0, c * F.log2(c / m)).otherwise(0.0)
+        return F.when(c > 0, c * F.log2(F.try_divide(c, m))).when(c.isNotNull(), 0.0)
 
-    return scaled.agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(part(F.col("p")) + part(F.col("q"))) / 2)).alias("js"))
+    summed = F.sum(part(F.col("p")) + part(F.col("q"))) / 2
+    # greatest() would turn a null into 0
+    return scaled.agg(F.when(summed.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), summed))).alias("js"))
 
 
 def metric_rows(pairs: DataFrame, feature: str, **limits) -> DataFrame:
@@ -85,15 +89,27 @@ def metrics_table(features: dict[str, DataFrame], **limits) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """bin (0-based), low, high, n: equal width bins, the last one closed at the top."""
+    """bin (0-based), low, high, n: equal width bins, the last one closed at the top; empty bins have n 0.
+
+    A constant column gets bins over one unit around its value. Without a value there are no bins.
+    """
     c = F.col(column).cast("double")
-    ends = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
+    ends = df.agg(F.min(c).alias("least"), F.max(c).alias("most")).filter("least IS NOT NULL")
+    flat = F.col("least") == F.col("most")
+    ends = ends.select(
+        F.when(flat, F.col("least") - 0.5).otherwise(F.col("least")).alias("lo"),
+        (F.when(flat, F.lit(1.0)).otherwise(F.col("most") - F.col("least")) / bins).alias("w"),
+    )
     placed = df.filter(c.isNotNull()).select(c.alias("__x")).join(F.broadcast(ends)).select(  # one row
-        F.least(F.floor((F.col("__x") - F.col("lo")) / width).cast("int"), F.lit(bins - 1)).alias("bin"), "lo", width.alias("w")
+        F.least(F.floor((F.col("__x") - F.col("lo")) / F.col("w")).cast("int"), F.lit(bins - 1)).alias("bin")
     )
-    return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("w").alias("w")).select(
-        "bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("low"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("high"), "n"
+    counts = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    all_bins = ends.select("lo", "w", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return all_bins.join(counts, "bin", "left").select(
+        "bin",
+        (F.col("lo") + F.col("bin") * F.col("w")).alias("low"),
+        (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("high"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("n"),
     )
 
 
@@ -101,10 +117,13 @@ def density_grid(df: DataFrame, column: str, points: int = 50) -> DataFrame:
     """grid_no, x, density: Gaussian kernel estimate with Scott's bandwidth.
 
     All grid sums are taken in one pass over the distinct values; no row is
-    repeated per grid point.
+    repeated per grid point. Fewer than two different values have no density:
+    no rows.
     """
     c = F.col(column).cast("double")
     s = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("n"), F.stddev_samp(c).alias("sd")).first()
+    if not s["sd"]:
+        return df.sparkSession.createDataFrame([], "grid_no int, x double, density double")
     step = (s["hi"] - s["lo"]) / (points - 1)
     h = s["sd"] * s["n"] ** (-0.2)
     grid = [s["lo"] + i * step for i in range(points)]
