@@ -29,8 +29,10 @@ REDUCE_TEMPLATE = "Join the analysts' points into one answer.\n\n{report_data}\n
 def reports_in_scope(reports: DataFrame, nodes: DataFrame, level: int = config.COMMUNITY_LEVEL) -> DataFrame:
     """Reports of the deepest community each entity has at or above ``level``."""
     scoped = filters.under_level(nodes, level).filter(F.col("community").isNotNull())
-    deepest = scoped.groupBy("title").agg(F.max_by("community", F.struct("level", "community")).alias("community"))
-    return filters.under_level(reports, level).join(deepest.select("community"), "community", "left_semi")
+    deepest = scoped.groupBy("title").agg(F.max(F.struct("level", "community")).alias("__d"))
+    wanted = deepest.select("__d.level", "__d.community")
+    # an id may name communities of several levels, so the level is part of the key
+    return filters.under_level(reports, level).join(wanted, ["level", "community"], "left_semi")
 
 
 def entities_in_scope(nodes: DataFrame, entities: DataFrame, level: int = config.COMMUNITY_LEVEL) -> DataFrame:

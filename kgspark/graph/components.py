@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kgspark.session import cut
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """title, component (the smallest title of the component).
 
     Per round: two grouped minima (map-side combined) and two joins. Hub nodes
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     )
     state = cut(pairs.distinct())
     mark = _mark(state)
-    for _ in range(max_rounds):
+    while True:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = (
@@ -38,8 +38,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         if new_mark == mark:
             break
         mark = new_mark
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     everyone = edges.select(F.explode(F.array("source", "target")).alias("title"))
     if nodes is not None:
         everyone = everyone.unionByName(nodes.select("title"))

@@ -17,6 +17,7 @@ from kgspark import config
 from kgspark.graph import degree as deg
 from kgspark.operators import ordered
 from kgspark.session import cut
+from kgspark.vector.topk import project_2d
 
 
 def entity_id(title):
@@ -68,6 +69,16 @@ def nodes_table(nodes: DataFrame, membership: DataFrame, edges: DataFrame, layou
     )
 
 
+LAYOUTS = ("zero", "components")
+
+
+def layout_of(vectors: DataFrame | None, strategy: str = "zero") -> DataFrame | None:
+    """title, x, y by the named strategy for ``nodes_table``: none at all, or the two main components of vectors(title, vector)."""
+    if strategy not in LAYOUTS:
+        raise ValueError(f"unknown layout strategy: {strategy}")
+    return None if strategy == "zero" else project_2d(vectors, "title", "vector")
+
+
 def entities_table(nodes: DataFrame, node_units: DataFrame) -> DataFrame:
     """One entity per name, with its text units in pages."""
     units = node_units.filter(F.col("text_unit_id").isNotNull()).distinct()

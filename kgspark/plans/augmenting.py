@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.augment import rows, spec
+from kgspark.augment import job, rows, spec
 from kgspark.plans.registry import query
 from kgspark.plans.texts import _REPORT_SQL, _customer_report
 from kgspark.session import scratch_path
@@ -165,3 +165,63 @@ def map_rename_keys(t):
     m = F.create_map(F.lit("brand (name)"), F.col("p_brand"), F.lit("kind"), F.col("p_type"))
     renamed = t.part.select("p_partkey", rows.rename_keys(m, {"brand (name)": "brand"}).alias("m"))
     return renamed.select("p_partkey", F.element_at("m", "brand").alias("brand"), F.element_at("m", "kind").alias("kind"))
+
+
+def _model(prompts):
+    """Answers all features, but leaves one out of every third answer by the length of the prompt."""
+    out = []
+    for p in prompts:
+        rush = "" if len(p) % 3 == 0 else ', "Rush": "true"'
+        out.append(f'Here: {{"Open Order": "false", "Order Value": "{len(p)}"{rush}}}')
+    return out
+
+
+def _second(prompts):
+    return ['{"Rush": "false"}' if len(p) % 2 else "nothing" for p in prompts]
+
+
+def _variants(t):
+    """Rows augmented without and with retrieved texts (the customer's order priorities)."""
+    context = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ", ").alias("context"))
+    for name, texts in (("without", None), ("with", context)):
+        whole, rejects = job.augment_table(t.customer, "c_custkey", F.col("c_name"), SPEC, {}, _model, _second, texts)
+        yield name, whole, rejects
+
+
+_JOB_SQL = r"""
+WITH ctx AS (SELECT o_custkey AS c_custkey, string_agg(o_orderpriority, ', ' ORDER BY o_orderpriority) AS context FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) GROUP BY 1),
+base AS (SELECT c_custkey, replace(replace(replace(replace('## Report#N{report}#N#N## Data types#N{spec}#N#N## Ranges#N{ranges}#N#NGive a value for every feature as one JSON object.', '#N', chr(10)),
+  '{report}', c_name), '{spec}', '{"Open Order":"boolean","Order Value":"numerical","Rush":"boolean"}'), '{ranges}', '{}') AS p FROM customer),
+q AS (SELECT 'without' AS run, c_custkey, p FROM base UNION ALL
+  SELECT 'with', c_custkey, p || coalesce(chr(10) || chr(10) || '## Retrieved texts' || chr(10) || context, '') FROM base LEFT JOIN ctx USING (c_custkey)),
+a AS (SELECT *, length(p) % 3 = 0 AS gap, length(p || chr(10) || chr(10) || 'Missing: Rush') % 2 = 1 AS told FROM q)
+SELECT run, c_custkey, p AS augmenting_query, 'Here: {"Open Order": "false", "Order Value": "' || length(p) || '"' || CASE WHEN gap THEN '' ELSE ', "Rush": "true"' END || '}' AS augmenting_output,
+  false AS open_order, length(p)::DOUBLE AS order_value, NOT gap AS rush
+FROM a WHERE NOT gap OR told
+"""
+
+
+@query("augment_job", _JOB_SQL)
+def augment_job(t):
+    out = None
+    for name, whole, _ in _variants(t):
+        part = whole.select(
+            F.lit(name).alias("run"),
+            "c_custkey",
+            "augmenting_query",
+            "augmenting_output",
+            F.col("`Augmented_Open Order`").alias("open_order"),
+            F.col("`Augmented_Order Value`").alias("order_value"),
+            F.col("Augmented_Rush").alias("rush"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "augment_variants",
+    f"""SELECT run, total, total - (SELECT count(*) FROM ({_JOB_SQL}) j WHERE j.run = v.run) AS failed
+FROM (VALUES ('without'), ('with')) v(run), (SELECT count(*) AS total FROM customer)""",
+)
+def augment_variants(t):
+    return job.compare_variants(t.customer, "c_custkey", {name: whole for name, whole, _ in _variants(t)})

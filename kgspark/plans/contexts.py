@@ -223,6 +223,14 @@ def _report_fn(texts, attempt):
     return offline.report(texts)
 
 
+@query("report_rejects", f"{TRADE} SELECT DISTINCT level, community FROM m WHERE community IS NOT NULL")
+def report_rejects(t):
+    """With a model that never answers, every community is a reject."""
+    nodes, edges = trade_context(t)[:2]
+    made = reports.community_reports(nodes, edges, lambda texts, attempt: ["no" for _ in texts], attempts=1)
+    return reports.report_rejects(nodes, made).select("level", "community")
+
+
 @query("community_reports")
 def community_reports(t):
     return reports.community_reports(*trade_context(t), _report_fn).drop("findings")
@@ -307,8 +315,8 @@ _SM = "sm AS (SELECT * FROM m WHERE level < 2 OR community NOT LIKE '%SUPPLIER')
 
 @query(
     "reports_in_scope",
-    f"""{TRADE}, {_RP}, {_SM}, d AS (SELECT title, arg_max(community, level) AS community FROM sm WHERE level <= 2 GROUP BY 1)
-SELECT level, community, title, rank FROM rp WHERE level <= 2 AND community IN (SELECT community FROM d)""",
+    f"""{TRADE}, {_RP}, {_SM}, d AS (SELECT title, arg_max(community, level) AS community, max(level) AS level FROM sm WHERE level <= 2 GROUP BY 1)
+SELECT level, community, title, rank FROM rp WHERE level <= 2 AND (level, community) IN (SELECT level, community FROM d)""",
 )
 def reports_in_scope(t):
     return search.reports_in_scope(_trade_reports(t), _sparse_membership(t), 2).select("level", "community", "title", "rank")

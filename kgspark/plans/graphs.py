@@ -308,8 +308,24 @@ def label_propagation(t):
 
 @query("communities_leiden")
 def communities_leiden(t):
-    # the first split and one more
-    return comm.hierarchical_communities(term_edges(t), max_levels=2, passes=4)
+    return comm.hierarchical_communities(term_edges(t))
+
+
+@query("communities_unique", "SELECT 0::BIGINT AS at_two_levels, 0::BIGINT AS at_no_parent, 0::BIGINT AS disconnected")
+def communities_unique(t):
+    """Faults of the hierarchy: a community at two levels, members outside the parent, parts without a path."""
+    edges = cut(term_edges(t))
+    found = cut(comm.detect(edges))
+    twice = found.groupBy("community").agg(F.count_distinct("level").alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("at_two_levels"))
+    above = found.select(F.col("title"), F.col("community").alias("parent"))
+    outside = found.filter("level > 0").join(above, ["title", "parent"], "left_anti").agg(F.count(F.lit(1)).alias("at_no_parent"))
+    s = found.select("level", F.col("title").alias("source"), "community")
+    e = comm.stable_edges(edges).join(s, "source").join(s.withColumnRenamed("source", "target"), ["level", "community", "target"])
+    tag = lambda c: F.concat_ws("\u0001", "level", "community", c)
+    parts = components.connected_components(e.select(tag("source").alias("source"), tag("target").alias("target")), found.select(tag("title").alias("title")))
+    per = parts.groupBy(F.substring_index("title", "\u0001", 2).alias("c")).agg(F.count_distinct("component").alias("n"))
+    split = per.filter("n > 1").agg(F.count(F.lit(1)).alias("disconnected"))
+    return twice.join(F.broadcast(outside)).join(F.broadcast(split))  # one row each
 
 
 @query(

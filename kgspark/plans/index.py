@@ -13,6 +13,7 @@ from kgspark.context import reports, search
 from kgspark.graph import communities, merge, tables
 from kgspark.model import offline, prompts, records
 from kgspark.model.apply import Chat, model_map
+from kgspark.model.gleaning import extract_with_gleaning
 from kgspark.model.summarize import summarize_lines
 from kgspark.session import scratch_path, spread
 from kgspark.sources.tables import stage
@@ -43,13 +44,16 @@ def build_index(
     chunk_size: int = config.CHUNK_SIZE,
     overlap: int = config.CHUNK_OVERLAP,
     report_tokens: int = config.REPORT_CONTEXT_TOKENS,
-    max_levels: int = 10,
-    passes: int = 6,
     with_reports: bool = True,
     with_vectors: bool = True,
+    community_strategy: str = "modularity",
+    gleanings: int = 0,
 ) -> dict[str, DataFrame]:
     """All stage tables by name. ``documents`` holds id, text, title.
 
+    With ``gleanings``, ``models.extract`` takes (texts, round) and is asked
+    again that often for what it missed.
+
     Every stage is written under ``root`` and read back; a second call with the
     same root picks up after the last finished stage.
     """
@@ -68,6 +72,8 @@ def build_index(
         answers = (
             offline.answer_extraction(units, "chunk", ["id"])
             if models.extract is None
+            else extract_with_gleaning(units, "id", "chunk", models.extract, gleanings)
+            if gleanings
             else model_map(units, models.extract, "chunk", ["id"])
         )
         return records.parse_records(answers, "output", ["id"])
@@ -96,7 +102,7 @@ def build_index(
 
     nodes = add("summarized_nodes", merged_nodes)
     edges = add("summarized_edges", merged_edges)
-    member = add("membership", lambda: communities.hierarchical_communities(edges, max_levels=max_levels, passes=passes), partition_by=("level",))
+    member = add("membership", lambda: communities.detect(edges, community_strategy), partition_by=("level",))
     final_nodes = add("nodes", lambda: tables.nodes_table(nodes, member, edges), partition_by=("level",))
     add("entities", lambda: tables.entities_table(nodes, node_units))
     relations = add("relationships", lambda: tables.relationships_table(edges, edge_units))
@@ -110,6 +116,7 @@ def build_index(
             lambda: reports.community_reports(final_nodes, ranked, models.report or _report, report_tokens),
             partition_by=("level",),
         )
+        add("report_rejects", lambda: reports.report_rejects(final_nodes, done["community_reports"]))
     add("text_units", lambda: tables.final_text_units(units, unit_e, unit_r))
     add("documents", lambda: tables.final_documents(docs, units))
     if with_vectors:

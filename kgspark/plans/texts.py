@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kgspark import config
 from kgspark.functions import convert, jsontext, numbers, strings
 from kgspark.functions import tokens as tok
-from kgspark.model import apply, offline, prompts, records
+from kgspark.model import apply, gleaning, offline, prompts, records
 from kgspark.plans.registry import query
 from kgspark.session import spread
 from kgspark.sources import documents
@@ -609,3 +609,31 @@ def prior_knowledge(t):
     return prompts.prior_knowledge(answers, "conv_id", "turn", "text")
 
 
+
+
+def _glean(prompts, r):
+    return [f'("entity"<|>"ROUND {r} OF {p.count(" ")}"<|>"TERM"<|>"seen")' for p in prompts]
+
+
+def _more(prompts, r):
+    return ["yes" if p.count(" ") % 3 >= r else "no" for p in prompts]
+
+
+_BLANKS = "(length({0}) - length(replace({0}, ' ', '')))"
+
+
+@query(
+    "extract_gleaning",
+    f"""
+WITH a AS (SELECT item_id, text, '("entity"<|>"ROUND 0 OF ' || {_BLANKS.format('text')} || '"<|>"TERM"<|>"seen")' AS o, 1 AS n FROM benchmark),
+b AS (SELECT *, {_BLANKS.format('text')} + {_BLANKS.format('o')} AS seen FROM a),
+c AS (SELECT *, (seen + {_BLANKS.format("'Are records still missing? Answer YES or NO.'")}) % 3 >= 1 AS go1,
+  o || '##' || '("entity"<|>"ROUND 1 OF ' || (seen + {_BLANKS.format("'Some records are still missing. Write the missing ones only, in the same format.'")}) || '"<|>"TERM"<|>"seen")' AS o1 FROM b),
+d AS (SELECT *, {_BLANKS.format('text')} + {_BLANKS.format('o1')} AS seen1 FROM c),
+e AS (SELECT *, go1 AND (seen1 + {_BLANKS.format("'Are records still missing? Answer YES or NO.'")}) % 3 >= 2 AS go2,
+  o1 || '##' || '("entity"<|>"ROUND 2 OF ' || (seen1 + {_BLANKS.format("'Some records are still missing. Write the missing ones only, in the same format.'")}) || '"<|>"TERM"<|>"seen")' AS o2 FROM d)
+SELECT item_id, CASE WHEN go2 THEN o2 WHEN go1 THEN o1 ELSE o END AS output, CASE WHEN go2 THEN 3 WHEN go1 THEN 2 ELSE 1 END AS n_rounds FROM e
+""",
+)
+def extract_gleaning(t):
+    return gleaning.extract_with_gleaning(t.benchmark, "item_id", "text", _glean, 2, _more)

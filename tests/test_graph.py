@@ -33,7 +33,7 @@ def test_communities(spark):
         pairs += [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if rnd.random() < 0.5]
     pairs += [("g0_0", "g1_0"), ("g1_1", "g2_1"), ("g2_2", "g3_2"), ("far", "away")]
     edges = edges_of(spark, pairs)
-    member = communities.hierarchical_communities(edges, max_levels=2).cache()
+    member = communities.hierarchical_communities(edges).cache()
     level0 = member.filter("level = 0")
     assert level0.count() == 56  # the small component is left out
     assert communities.modularity(edges, level0).first()[0] > 0.6
@@ -48,6 +48,8 @@ def test_communities(spark):
         parts = components.connected_components(edges_of(spark, inner), spark.createDataFrame([(t,) for t in mine], "title string"))
         assert parts.select("component").distinct().count() == len(set(mine.values()))
         if lv:
+            # a community has one level; those below hold nodes of one above only
+            assert not set(mine.values()) & {r["community"] for r in member.filter(F.col("level") != lv).collect()}
             upper = {r["title"]: r["community"] for r in member.filter(F.col("level") == lv - 1).collect()}
             assert all(len({upper[t] for t in mine if mine[t] == c}) == 1 for c in set(mine.values()))
 
