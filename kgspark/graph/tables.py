@@ -97,6 +97,12 @@ def entities_table(nodes: DataFrame, node_units: DataFrame) -> DataFrame:
     )
 
 
+def with_embeddings(entities: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Entities with ``description_embedding`` from vectors(id, vector); an entity without one is left out."""
+    known = vectors.filter(F.col("vector").isNotNull()).select("id", F.col("vector").alias("description_embedding"))
+    return entities.join(known, "id")
+
+
 def relationships_table(edges: DataFrame, edge_units: DataFrame) -> DataFrame:
     """Edges with combined degree, text ids and their text units in pages."""
     ranked = deg.edge_combined_degree(edges, deg.node_degree(edges))

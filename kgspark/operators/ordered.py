@@ -31,8 +31,9 @@ def split_hot(
     """
     limit = limit or config.HOT_GROUP_ROWS
     if not keys:
+        # one group: always in blocks, so that no task gets all rows
         rows = df.count()
-        return (df, None, 0) if rows <= limit else (None, df, rows)
+        return (df, None, 0) if rows == 0 else (None, df, rows)
     big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).collect()
     if not big:
         return df, None, 0

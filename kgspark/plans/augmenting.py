@@ -151,7 +151,7 @@ def failure_counts(t):
     return rows.failure_counts(t.orders, whole, "o_orderkey", "once")
 
 
-@query("augment_resume")
+@query("augment_resume", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 5 IN (0, 1, 3)")
 def augment_resume(t):
     root = scratch_path(t.spark, "augmented")
     whole, _ = rows.complete(rows.read_answer(_answers(t)), "o_orderkey", list(SPEC))

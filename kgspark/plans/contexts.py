@@ -513,6 +513,15 @@ def vector_topk_filtered(t):
     return topk.similarity_topk(topk.filter_by_id(_vectors(t), wanted), _centres(t), 10).withColumn("score", F.round("score", 6))
 
 
+@query("vector_lsh_recall", "SELECT true AS enough, count(*) AS queries FROM (SELECT DISTINCT label FROM embeddings)")
+def vector_lsh_recall(t):
+    """Whether the approximate search finds nine tenths of the exact neighbours, over all queries."""
+    exact = topk.similarity_topk(_vectors(t), _centres(t), 10).select("query_id", "id")
+    near = topk.similarity_topk_lsh(_vectors(t), _centres(t), 10, radius=1.4, width=1.0).select("query_id", "id", F.lit(1).alias("hit"))
+    both = exact.join(near, ["query_id", "id"], "left")
+    return both.agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"), F.count_distinct("query_id").alias("queries"))
+
+
 @query("vector_topk_lsh")
 def vector_topk_lsh(t):
     return topk.similarity_topk_lsh(_vectors(t), _centres(t), 10, radius=1.4, width=1.0)

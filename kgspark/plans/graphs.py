@@ -416,6 +416,57 @@ def nodes_table(t):
     return tables.nodes_table(trade_nodes(t).select("title", "type", "description"), trade_membership(t), trade_edges(t))
 
 
+@query("projection_spread", "SELECT count(*) AS n, true AS centred, true AS first_is_wider FROM embeddings")
+def projection_spread(t):
+    """All vectors are placed, and the first component varies most."""
+    xy = cut(topk.project_2d(t.embeddings, "vec_id", "embedding"))
+    return xy.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.abs(F.corr("x", "y")) < 1e-6, F.lit(False)).alias("centred"),
+        (F.var_samp("x") >= F.var_samp("y")).alias("first_is_wider"),
+    )
+
+
+@query(
+    "nodes_layout",
+    f"""{TRADE} SELECT level, title, community, x, y FROM (SELECT n.title, m.level, m.community, length(n.title)::DOUBLE AS x,
+  CASE WHEN type = 'CUSTOMER' THEN 1.0 ELSE 0.0 END::DOUBLE AS y FROM n JOIN m USING (title))""",
+)
+def nodes_layout(t):
+    """Positions given from outside, for some of the nodes; the others lie at the origin's line."""
+    nodes = trade_nodes(t).select("title", "type", "description")
+    layout = nodes.select("title", F.length("title").cast("double").alias("x"), F.when(F.col("type") == "CUSTOMER", 1.0).alias("y"))
+    out = tables.nodes_table(nodes, trade_membership(t), trade_edges(t), layout)
+    return out.select("level", "title", "community", "x", "y")
+
+
+@query(
+    "level_nodes_vectors",
+    f"{TRADE} SELECT level, title, community, CASE WHEN type = 'SUPPLIER' THEN length(title)::DOUBLE END AS first_value FROM n JOIN m USING (title)",
+)
+def level_nodes_vectors(t):
+    """Graph vectors joined to the nodes that have one."""
+    nodes = trade_nodes(t).select("title", "type", "description")
+    vectors = nodes.filter("type = 'SUPPLIER'").select("title", F.array(F.length("title").cast("double")).alias("graph_embedding"))
+    out = tables.level_nodes(nodes, trade_membership(t), trade_edges(t), vectors)
+    return out.select("level", "title", "community", F.get("graph_embedding", F.lit(0)).alias("first_value"))
+
+
+@query(
+    "entities_embedded",
+    f"""{TRADE} SELECT md5(title) AS id, title AS name, length(concat_ws(':', title, description))::DOUBLE AS first_value FROM n WHERE description IS NOT NULL""",
+)
+def entities_embedded(t):
+    """Entities with the vector of their text; those without one are left out."""
+    nodes = trade_nodes(t).select("title", "type", "description")
+    made = tables.entities_table(nodes, trade_node_units(t))
+    vectors = nodes.filter("description IS NOT NULL").select(
+        tables.entity_id(F.col("title")).alias("id"), F.array(F.length(F.concat_ws(":", "title", "description")).cast("double")).alias("vector")
+    )
+    out = tables.with_embeddings(made, vectors)
+    return out.select("id", "name", F.get("description_embedding", F.lit(0)).alias("first_value"))
+
+
 @query("project_2d")
 def project_2d(t):
     return topk.project_2d(t.embeddings, "vec_id", "embedding")

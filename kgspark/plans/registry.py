@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from kgspark.plans import augmenting, builds, contexts, graphs, measures, relational, texts, verbs  # noqa: F401
+    from kgspark.plans import augmenting, builds, contexts, files, graphs, measures, relational, texts, verbs  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -426,9 +426,7 @@ def chunk_sentences(t):
     return chunk.chunk_sentences(t.documents.select("doc_id", "text"), "text")
 
 
-@query(
-    "chunk_chars",
-    f"""
+CHUNK_CHARS_SQL = f"""
 WITH RECURSIVE lines AS (
   SELECT doc_id, i, CASE WHEN i < len(w) THEN w[i] || chr(10) ELSE w[i] END AS p
   FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
@@ -443,7 +441,12 @@ walk AS (
     CASE WHEN w.fill + n.len > {config.CHAR_CHUNK_SIZE} THEN n.len ELSE w.fill + n.len END
   FROM walk w JOIN n ON n.doc_id = w.doc_id AND n.rn = w.rn + 1)
 SELECT doc_id, b AS chunk_index, string_agg(p, '' ORDER BY rn) AS chunk, sum(len)::BIGINT AS n_chars FROM walk JOIN n USING (doc_id, rn) GROUP BY 1, 2
-""",
+"""
+
+
+@query(
+    "chunk_chars",
+    CHUNK_CHARS_SQL,
 )
 def chunk_chars(t):
     return chunk.chunk_chars(t.documents.select("doc_id", "text"), "doc_id", "text")
@@ -508,7 +511,13 @@ def budget_batches(t):
 # ---------------------------------------------------------------- prompted extraction
 
 
-@query("model_map")
+@query(
+    "model_map",
+    """
+SELECT doc_id, CASE WHEN len(l) = 1 THEN l[1] ELSE l[1] || ' and ' || (len(l) - 1) || ' more' END AS output
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+""",
+)
 def model_map(t):
     return apply.model_map(t.documents, offline.summarize, "text", ["doc_id"])
 

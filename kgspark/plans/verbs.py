@@ -22,7 +22,7 @@ def scan_parquet(t):
     return t.orders.filter("o_totalprice > 400000").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("stage_resume")
+@query("stage_resume", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1")
 def stage_resume(t):
     root = scratch_path(t.spark, "stage")
     make = lambda: t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))

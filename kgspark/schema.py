@@ -35,6 +35,10 @@ RELATIONSHIPS = _struct(
 COMMUNITIES = _struct(
     id="string", title="string", level="int", raw_community="string", page="long", relationship_ids="strings", text_unit_ids="strings"
 )
+COVARIATES = _struct(
+    id="string", subject_id="string", object_id="string", type="string", status="string", start_date="string", end_date="string",
+    description="string",
+)
 REPORTS = _struct(
     level="int", community="string", title="string", summary="string", full_content="string", full_content_json="string",
     rank="double", rank_explanation="string", id="string",

@@ -22,8 +22,8 @@ def similarity_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, to: str
     """query_id, id, score, position: the k most similar vectors by cosine, smaller id on a tie.
 
     ``vectors`` holds id, vector; ``queries`` query_id, vector. Queries are
-    sent to the tasks in blocks of bounded size; every Arrow batch of vectors
-    keeps its own k best (and ties), so the shuffle carries few rows.
+    sent to the tasks in blocks of bounded size; every partition of vectors
+    keeps its own k best, so the shuffle carries k rows per query and partition.
     """
     queries = cut(queries.select("query_id", "vector"))
     n = queries.count()
@@ -54,6 +54,8 @@ def _block_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = shared.value
+        # the best of the partition so far: query, id, score
+        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         for frame in frames:
             if frame.empty or not len(q):
                 continue
@@ -61,18 +63,28 @@ def _block_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             length = np.linalg.norm(v, axis=1, keepdims=True)
             scores = q @ (v / np.where(length == 0, 1.0, length)).T
             if scores.shape[1] > k:
-                # keep everything at or above the k-th score, ties included
                 bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
                 qi, vi = np.nonzero(scores >= bar)
             else:
                 qi, vi = np.nonzero(np.ones_like(scores, dtype=bool))
-            yield pd.DataFrame(
-                {"query_id": [ids[i] for i in qi], "id": frame["id"].to_numpy()[vi], "score": scores[qi, vi]}
-            )
+            new = (qi, frame["id"].to_numpy()[vi], scores[qi, vi])
+            held = new if held is None else tuple(np.concatenate([a, b]) for a, b in zip(held, new))
+            held = _best(*held, k)
+        if held is not None:
+            yield pd.DataFrame({"query_id": [ids[i] for i in held[0]], "id": held[1], "score": held[2]})
 
     return vectors.select("id", "vector").mapInPandas(run, schema)
 
 
+def _best(query: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, smaller key on a tie."""
+    by = np.lexsort((key, -score, query))
+    query, key, score = query[by], key[by], score[by]
+    first = np.r_[True, query[1:] != query[:-1]]
+    place = np.arange(len(query)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    return query[place < k], key[place < k], score[place < k]
+
+
 def filter_by_id(vectors: DataFrame, include: DataFrame) -> DataFrame:
     return vectors.join(include.select("id"), "id", "left_semi")
 
