@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 # Patterns of the repair steps and of the key/value fallback.
 CODE_FENCE = r"```[a-zA-Z]*\n?"
 OUTER_OBJECT = r"(?s)\{.*\}"
-TRAILING_COMMA = r",\s*([\]}])"
-UNCLOSED_ITEM = r"(\{[^}]*?)\n\s*]\s*(?=[,}])"
 KEY_VALUE = r'"([^"]+)":\s*([^\n,}]+)'
 
 MAP_TYPE = "map<string,string>"
@@ -73,11 +71,57 @@ def last_balanced(texts: pd.Series) -> pd.Series:
     return texts.map(pick)
 
 
-def repair(c: Column) -> Column:
-    """Object text with fences, trailing commas, unclosed items and line breaks put right."""
-    inner = object_substring(F.regexp_replace(c, CODE_FENCE, ""))
-    closed = F.regexp_replace(F.regexp_replace(inner, TRAILING_COMMA, "$1"), UNCLOSED_ITEM, "$1}]")
-    return F.trim(F.regexp_replace(closed, r"[\r\n]+", " "))
+_PIECE = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},]|[^"\[\]{},]+|"', re.S)
+_CLOSER = {"{": "}", "[": "]"}
+_OPENER = {c: o for o, c in _CLOSER.items()}
+
+
+def mend_object(text: str | None) -> str | None:
+    """The first object of a text, well nested; null without an opening brace.
+
+    One pass with a stack of open brackets. A closing bracket first closes what
+    was opened inside and left open, at any depth, and one that closes nothing
+    is dropped; so is a comma before a closing bracket. At the end of the text
+    all open brackets are closed. Line breaks become blanks.
+    """
+    if text is None:
+        return None
+    text = re.sub(CODE_FENCE, "", text)
+    begin = text.find("{")
+    if begin < 0:
+        return None
+    out: list[str] = []
+    still_open: list[str] = []
+
+    def close(kind: str) -> None:
+        while out and (out[-1] == "," or out[-1].isspace()):
+            out.pop()
+        out.append(_CLOSER[kind])
+
+    for m in _PIECE.finditer(text, begin):
+        piece = m[0]
+        if piece in _CLOSER:
+            still_open.append(piece)
+            out.append(piece)
+        elif piece in _OPENER:
+            if _OPENER[piece] in still_open:
+                inner = None
+                while inner != _OPENER[piece]:
+                    inner = still_open.pop()
+                    close(inner)
+            if not still_open:
+                break
+        else:
+            out.append(piece)
+    for kind in reversed(still_open):
+        close(kind)
+    return re.sub(r"[\r\n]+", " ", "".join(out)).strip()
+
+
+@F.pandas_udf(T.StringType())
+def repair(texts: pd.Series) -> pd.Series:
+    """``mend_object`` of every text."""
+    return texts.map(mend_object)
 
 
 def is_json(c: Column) -> Column:

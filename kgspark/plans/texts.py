@@ -325,6 +325,24 @@ def json_repair(t):
     )
 
 
+@query(
+    "json_repair_nested",
+    """SELECT event_id, user_id, event_type AS first_name, 'x,y' AS tags, 'last' AS second_name FROM events""",
+)
+def json_repair_nested(t):
+    """A list left open inside an item, an item left open inside a list, and an object that never ends."""
+    answer = F.concat(
+        F.lit('{"user": '), F.col("user_id").cast("string"), F.lit(', "items": [{"name": "'), "event_type",
+        F.lit('", "tags": ["x", "y",}, {"name": "last", "tags": []\n ],\n "more": {"a": [1, 2'),
+    )
+    r = jsontext.parse(jsontext.repair(answer), "user bigint, items array<struct<name:string,tags:array<string>>>")
+    items = F.col("r.items")
+    return t.events.select("event_id", r.alias("r")).select(
+        "event_id", F.col("r.user").alias("user_id"), items[0]["name"].alias("first_name"),
+        F.array_join(items[0]["tags"], ",").alias("tags"), items[1]["name"].alias("second_name"),
+    )
+
+
 @query(
     "json_latest_key",
     """
@@ -426,6 +444,38 @@ def chunk_sentences(t):
     return chunk.chunk_sentences(t.documents.select("doc_id", "text"), "text")
 
 
+RECURSIVE_SIZE, RECURSIVE_OVERLAP = 300, 60
+
+
+@query(
+    "chunk_recursive",
+    f"""
+WITH RECURSIVE paras AS (
+  SELECT doc_id, i, CASE WHEN i < len(w) THEN w[i] || chr(10) || chr(10) ELSE w[i] END AS p
+  FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+lines AS (
+  SELECT doc_id, i, 0 AS j, p FROM paras WHERE length(p) <= {RECURSIVE_SIZE - RECURSIVE_OVERLAP}
+  UNION ALL SELECT doc_id, i, j, CASE WHEN j < len(w) THEN w[j] || chr(10) ELSE w[j] END FROM
+    (SELECT doc_id, i, string_split(p, chr(10)) AS w FROM paras WHERE length(p) > {RECURSIVE_SIZE - RECURSIVE_OVERLAP}), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS j)),
+pieces AS (
+  SELECT doc_id, i, j, 0 AS k, p FROM lines WHERE length(p) <= {RECURSIVE_SIZE - RECURSIVE_OVERLAP}
+  UNION ALL SELECT doc_id, i, j, k, CASE WHEN k < len(w) THEN w[k] || ' ' ELSE w[k] END FROM
+    (SELECT doc_id, i, j, string_split(p, ' ') AS w FROM lines WHERE length(p) > {RECURSIVE_SIZE - RECURSIVE_OVERLAP}), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k)),
+n AS (SELECT doc_id, p, length(p) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) AS rn FROM pieces WHERE p <> ''),
+walk AS (
+  SELECT doc_id, rn, 0::BIGINT AS b, len AS fill FROM n WHERE rn = 1
+  UNION ALL SELECT n.doc_id, n.rn, CASE WHEN w.fill + n.len > {RECURSIVE_SIZE - RECURSIVE_OVERLAP} THEN w.b + 1 ELSE w.b END,
+    CASE WHEN w.fill + n.len > {RECURSIVE_SIZE - RECURSIVE_OVERLAP} THEN n.len ELSE w.fill + n.len END
+  FROM walk w JOIN n ON n.doc_id = w.doc_id AND n.rn = w.rn + 1),
+placed AS (SELECT doc_id, b, rn, p, len, sum(len) OVER (PARTITION BY doc_id, b ORDER BY rn DESC) AS back, max(b) OVER (PARTITION BY doc_id) AS top FROM walk JOIN n USING (doc_id, rn)),
+every AS (SELECT doc_id, b, rn, p FROM placed UNION ALL SELECT doc_id, b + 1, rn, p FROM placed WHERE back <= {RECURSIVE_OVERLAP} AND b < top)
+SELECT doc_id, b AS chunk_index, string_agg(p, '' ORDER BY rn) AS chunk FROM every GROUP BY 1, 2
+""",
+)
+def chunk_recursive(t):
+    return chunk.chunk_recursive(t.documents.select("doc_id", "text"), "doc_id", "text", RECURSIVE_SIZE, RECURSIVE_OVERLAP)
+
+
 CHUNK_CHARS_SQL = f"""
 WITH RECURSIVE lines AS (
   SELECT doc_id, i, CASE WHEN i < len(w) THEN w[i] || chr(10) ELSE w[i] END AS p

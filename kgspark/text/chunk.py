@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark import config
@@ -134,6 +134,56 @@ def chunk_chars(
     )
 
 
+def chunk_recursive(
+    df: DataFrame,
+    key: str,
+    column: str,
+    size: int = config.CHAR_CHUNK_SIZE,
+    overlap: int = config.CHAR_CHUNK_OVERLAP,
+    separators: Sequence[str] = ("\n\n", "\n", " "),
+) -> DataFrame:
+    """key, chunk_index, chunk: at most ``size`` characters, split at the widest separator that does.
+
+    A piece that is too long is split at the next separator: paragraphs, lines,
+    words, at last characters. Pieces are packed in order, and each chunk starts
+    with the last whole pieces of the one before, up to ``overlap`` characters.
+    """
+    room = size - overlap
+    pieces = F.array(F.col(column))
+
+    def cut_at(separator):
+        def parts(p):
+            whole = F.split(p, separator, -1)
+            last = F.size(whole) - 1
+            kept = F.transform(whole, lambda x, i: F.when(i < last, F.concat(x, F.lit(separator))).otherwise(x))
+            return F.when(F.length(p) > room, kept).otherwise(F.array(p))
+
+        return parts
+
+    for separator in separators:
+        pieces = F.flatten(F.transform(pieces, cut_at(separator)))
+    windows = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.length(p) - 1, F.lit(0)), F.lit(room)), lambda s: F.substring(p, s + 1, F.lit(room)))
+    pieces = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > room, windows(p)).otherwise(F.array(p))))
+    rows = (
+        df.filter(F.col(column).isNotNull())
+        .select(key, F.posexplode(pieces).alias("__pos", "__piece"))
+        .filter(F.col("__piece") != "")
+        .withColumn("__len", F.length("__piece").cast("long"))
+    )
+    packed = budget.pack(rows, [key], ["__pos"], "__len", room, "chunk_index")
+    # inside one document's chunk
+    back = F.sum("__len").over(Window.partitionBy(key, "chunk_index").orderBy(F.desc("__pos")))
+    last_chunk = F.max("chunk_index").over(Window.partitionBy(key))
+    marked = packed.withColumn("__again", (back <= overlap) & (F.col("chunk_index") < last_chunk))
+    at = F.when(F.col("__again"), F.array(F.col("chunk_index"), F.col("chunk_index") + 1)).otherwise(F.array("chunk_index"))
+    lines = F.sort_array(F.collect_list(F.struct("__pos", "__piece")))
+    return (
+        marked.select(key, F.explode(at).alias("chunk_index"), "__pos", "__piece")
+        .groupBy(key, "chunk_index")
+        .agg(F.array_join(F.transform(lines, lambda s: s["__piece"]), "").alias("chunk"))
+    )
+
+
 def chunk(df: DataFrame, column: str, strategy: str = "tokens", **options) -> DataFrame:
     """Chunk one text per row by tokens, by sentences, or not at all."""
     if strategy == "tokens":
