@@ -544,3 +544,47 @@ SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY position) AS conte
 def rag_context(t):
     hits = topk.similarity_topk(_vectors(t), _centres(t), 10)
     return topk.context_for(hits, t.documents, "doc_id", "text")
+
+
+@query(
+    "context_claims",
+    f"""{CTX} SELECT level, community, step, kind, line FROM ti UNION ALL
+SELECT level, community, use // 2, 'claim', concat_ws(',', s_suppkey, s_name, 'ACCOUNT', CASE WHEN s_acctbal > 0 THEN 'IN CREDIT' ELSE 'IN DEBT' END, 'No Description')
+FROM us JOIN nd USING (level, community, title) JOIN supplier ON s_name = title""",
+)
+def context_claims(t):
+    """Context lines with claims on the suppliers; a claim comes with the first edge that uses its subject."""
+    nodes, edges = trade_context(t)
+    claims = t.supplier.select(
+        F.col("s_suppkey").alias("human_readable_id"),
+        F.col("s_name").alias("subject_id"),
+        F.lit("ACCOUNT").alias("type"),
+        F.when(F.col("s_acctbal") > 0, "IN CREDIT").otherwise("IN DEBT").alias("status"),
+        F.lit(None).cast("string").alias("description"),
+    )
+    lines = cut(local.context_lines(nodes, edges, claims))
+    items = local.context_items(nodes, edges, lines, claims)
+    return local.with_lines(items, lines).select("level", "community", "step", "kind", "line")
+
+
+def _count_marks(prompts):
+    return [f'{{"points": [{{"description": "{p.count("MARK")} marks", "score": 50}}]}}' for p in prompts]
+
+
+def _first_point(prompts):
+    return [p.split("Importance Score: 50\n")[1].split("\n")[0] for p in prompts]
+
+
+@query(
+    "search_conversation",
+    "SELECT conv_id AS question_id, count(*) || ' marks' AS response, 2::BIGINT AS model_calls FROM conversations GROUP BY 1",
+)
+def search_conversation(t):
+    """Every question sees the turns of its own conversation."""
+    told = t.conversations.groupBy("conv_id").agg(F.repeat(F.lit("MARK "), F.count(F.lit(1)).cast("int")).alias("context"))
+    asked = told.select(F.col("conv_id").alias("question_id"), F.lit("What now?").alias("question"), "conv_id")
+    regions = t.region.select(
+        F.col("r_regionkey").alias("id"), F.col("r_name").alias("title"), F.lit(1).alias("weight"), F.lit(1).alias("rank"), F.col("r_name").alias("content")
+    )
+    out = search.global_search(asked, search.select_reports(regions), _count_marks, _first_point, conversation=told)
+    return out.select("question_id", "response", "model_calls")
