@@ -187,9 +187,60 @@ URL_RULES = [
 ]
 
 
-@query("op9_url_filter")
+def _chance_sql(order: int) -> str:
+    """Smoothed chances of one order, over those of the order below."""
+    own, head = f"substr(gram, {3 - order})", f"substr(own, 1, {order})"
+    lower, join = ("1.0 / 42", "") if not order else ("q.p", f"JOIN p{order - 1} q ON q.k = s.k AND q.own = substr(s.own, 2)")
+    return f"""s{order} AS (SELECT k, {own} AS own, sum(n) AS n FROM sides GROUP BY 1, 2),
+    h{order} AS (SELECT k, {head} AS head, sum(n) AS total, sum((n > 0)::INT) AS kinds FROM s{order} GROUP BY 1, 2),
+    p{order} AS (SELECT s.k, s.own, CASE WHEN total = 0 THEN {lower} ELSE (s.n + kinds * {lower}) / (total + kinds) END AS p
+        FROM s{order} s JOIN h{order} h ON h.k = s.k AND h.head = {head.replace("own", "s.own")} {join})"""
+
+
+@query(
+    "op9_url_filter",
+    rf"""
+    WITH cut AS (SELECT page_id, url, strpos(coalesce(url, ''), '://') AS mark FROM pages),
+    rest AS (
+        SELECT page_id, url, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS tail,
+               CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE url END AS body FROM cut),
+    parts AS (
+        SELECT page_id, url, body, {KEY.format("regexp_extract(tail, '^([^/?#]*)', 1)")} AS host,
+               regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    rules(rule_host, rule_path, say) AS (VALUES {", ".join(map(str, URL_RULES))}),
+    ruled AS (
+        SELECT p.*, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+               arg_max(say, length(rule_host || rule_path)) AS label
+        FROM parts p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        GROUP BY ALL),
+    urls AS (
+        SELECT DISTINCT url, label, ('0x' || substr(md5(url), 1, 8))::BIGINT % 5 AS fold,
+               '^^' || regexp_replace(regexp_replace({KEY.format("body")}, '[0-9]', '0', 'g'), '[^a-z0\-._/?=&%#:~+]', '*', 'g') || '$' AS t
+        FROM ruled WHERE url IS NOT NULL),
+    grams AS (SELECT url, label, fold, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM urls),
+    sides AS (
+        SELECT gram, 'a' AS k, count(*) FILTER (fold <> 0 AND label = 'allow') AS n FROM grams GROUP BY 1
+        UNION ALL SELECT gram, 'b', count(*) FILTER (fold <> 0 AND label = 'block') FROM grams GROUP BY 1),
+    {_chance_sql(0)},
+    {_chance_sql(1)},
+    {_chance_sql(2)},
+    model AS (SELECT x.own AS gram, ln(x.p) - ln(y.p) AS gain FROM p2 x JOIN p2 y ON x.own = y.own WHERE x.k = 'a' AND y.k = 'b'),
+    scores AS (SELECT url, sum(gain) / count(*) AS score FROM grams JOIN model USING (gram) GROUP BY 1),
+    steps AS (
+        SELECT round(greatest(least(score, 8), -8) * 100)::BIGINT AS step, count(*) FILTER (label = 'allow') AS good,
+               count(*) FILTER (label = 'block') AS bad
+        FROM urls JOIN scores USING (url) WHERE fold = 0 AND label IS NOT NULL GROUP BY 1),
+    sums AS (
+        SELECT step, sum(good) OVER (ORDER BY step) - good AS lost, sum(bad) OVER (ORDER BY step) - bad AS caught,
+               sum(good) OVER () AS goods, sum(bad) OVER () AS bads FROM steps),
+    least_score AS (SELECT (step - 0.5) / 100 AS least FROM sums ORDER BY 1 - lost / goods + caught / bads DESC, step LIMIT 1)
+    SELECT page_id, host, path, rule, coalesce(label, CASE WHEN score >= least THEN 'allow' ELSE 'block' END) AS verdict,
+           round(score, 6) AS score
+    FROM ruled LEFT JOIN scores USING (url), least_score
+    """,
+)
 def urls(spark: SparkSession, folder: str) -> DataFrame:
-    return judge_urls(table(spark, folder, "pages"), URL_RULES)
+    return judge_urls(table(spark, folder, "pages"), URL_RULES).withColumn("score", F.round("score", 6))
 
 
 @query("op3_license_scan")

@@ -129,7 +129,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col:
     rows = rows.withColumn("rule", name).withColumn("label", say)
     # the row count of one URL has no say in the models
     urls = rows.filter("url IS NOT NULL").select("url", "label").distinct()
-    urls = urls.withColumn("fold", F.crc32(F.col("url").cast("binary")) % 5).withColumn("text", symbols(F.col("url")))
+    urls = urls.withColumn("fold", F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 8), 16, 10).cast("long") % 5).withColumn("text", symbols(F.col("url")))
     grams = staged(gram_counts(urls), "url-grams")
     seen = grams.agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).first()
     if seen["a"] and seen["r"]:
