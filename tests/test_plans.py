@@ -24,7 +24,23 @@ def test_top_k_is_cut_in_every_task(spark):
     assert "WindowGroupLimit" in plan_of(spark, "dedupe_columns")
 
 
-@pytest.mark.parametrize("name", ["chunk_tokens", "parse_records", "map_points", "json_repair", "page_text", "row_to_report"])
+@pytest.mark.parametrize("name", ["parse_records", "json_repair"])
+def test_entities_and_brackets_go_through_arrow_only(spark, name):
+    # the full table of entities and the bracket stack have no JVM expression
+    plan = plan_of(spark, name)
+    assert "ArrowEvalPython" in plan and "BatchEvalPython" not in plan
+    assert "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("name", ["order_by", "win_percent_rank", "genid_increment", "report_batches"])
+def test_work_without_a_group_is_not_one_task(spark, name):
+    plan = plan_of(spark, name)
+    assert "Coalesce 1" not in plan
+    # sums of blocks may meet in one task, for their running sums and for the total; rows may not
+    assert plan.count("SinglePartition") <= 2
+
+
+@pytest.mark.parametrize("name", ["chunk_tokens", "map_points", "page_text", "row_to_report"])
 def test_text_work_needs_no_python_and_no_shuffle_by_key(spark, name):
     plan = plan_of(spark, name)
     assert "Python" not in plan and "InPandas" not in plan

@@ -102,13 +102,13 @@ def test_csv_and_json_files(spark, tmp_path):
     for n, body in ((10, "id,t\n1,a\n2,\"b\nc\"\n"), (2, "id,t\n3,d\n")):
         (tmp_path / f"part_to{n}new.csv").write_text(body)
     (tmp_path / "other.csv").write_text("id,t\n9,z\n")
-    rows = files.read_csv_shards(spark, str(tmp_path), r"part_to(\d+)new\.csv").orderBy("file_idx", "id").collect()
+    rows = files.read_csv_shards(spark, str(tmp_path), r"part_to(\d+)new\.csv", multi_line=True).orderBy("file_idx", "id").collect()
     assert [(r["id"], r["t"], r["file_idx"]) for r in rows] == [("3", "d", 2), ("1", "a", 10), ("2", "b\nc", 10)]
     out = str(tmp_path / "out")
     files.write_csv(spark.createDataFrame([(1, 'x "y", z')], "i int, s string"), out)
     assert tuple(files.read_csv(spark, out, "i int, s string").first()) == (1, 'x "y", z')
     (tmp_path / "a.json").write_text('{"Articles": [{"Title": "t", "Data": [{"Name": "n"}]},\n {"Title": "u", "Data": []}]}')
-    assert {r["Title"] for r in files.read_nested_json(spark, str(tmp_path / "a.json"), "Articles").collect()} == {"t", "u"}
+    assert {r["Title"] for r in files.read_nested_json(spark, str(tmp_path / "a.json"), "Articles", multi_line=True).collect()} == {"t", "u"}
 
 
 def test_stage_is_computed_once(spark, tmp_path):
