@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.session import scratch_path, tune
+from kgspark.session import scratch_path, spread, tune
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # ASCII white space as the contracts list it: \x20 and \x09 to \x0D
@@ -18,6 +18,17 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+# Rows of whole texts that go to a Python worker at once.
+TEXT_ROWS = 1_000
+
+
+def texts_for_python(df: DataFrame) -> DataFrame:
+    """``df`` with enough partitions, and small Arrow batches: a worker holds few whole texts at once."""
+    spark = tune(df.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return spread(df)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a folder, read by Spark so that any store works."""
     return tune(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -13,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgspark.graph.components import connected_components
-from kgspark.llm.common import small_or_plain, staged
+from kgspark.llm.common import small_or_plain, staged, texts_for_python
 from kgspark.llm.shingles import set_digest, shared_counts, shingle_set
-from kgspark.session import spread
 
 # Shares of all hashes that larger sets are searched by, after the whole range for small ones.
 SHARES = (1.0, 0.5, 0.25)
+# Shingles of a set that tell whether it can have a partner.
+SAMPLE = 64
 # exp(-SURE) bounds the chance that a share holds too few shingles of a set.
 SURE = 40.0
 # Documents and shingles that are verified together in one task.
@@ -54,42 +56,103 @@ def tokens(hashes: np.ndarray, level: int) -> np.ndarray:
     return ((low & ~np.uint64(3)) | np.uint64(level)).astype(np.int64)
 
 
-SIGNED = pa.schema(
-    [("doc", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("level", pa.int32()), ("first", pa.bool_()), ("tokens", pa.list_(pa.int64()))]
-)
+def sample_bound(n: int) -> int:
+    """Hashes below this are a set's sample: about ``SAMPLE`` of its shingles, the more the smaller the set."""
+    return 1 << 64 if n <= SAMPLE else (SAMPLE << 64) // n
 
 
-def signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per document and level: set size, set digest and the tokens it is searched by.
+@cache
+def most_alone(m: int, percent: int) -> int:
+    """How many of ``m`` sampled shingles of a set may be in no other set, if it has a partner.
 
-    A pair belongs to the level of its smaller set; so a set also joins the level of the smallest
-    set that may match it.
+    A set with a partner misses at most the share ``miss`` of its shingles in it. A sample of m holds a
+    share r > miss of those with a chance below exp(-m * KL(r, miss)); the first count for which that is
+    below exp(-SURE) is out of the question.
     """
-    sizes = level_sizes(percent)
+    miss = 1 - percent / 100
+    for c in range(math.floor(m * miss) + 1, m + 1):
+        r = c / m
+        kl = (r * math.log(r / miss) if miss else math.inf) + ((1 - r) * math.log((1 - r) / (1 - miss)) if r < 1 else 0.0)
+        if m * kl >= SURE:
+            return c - 1
+    return m
+
+
+SIGNED = "doc long, n long, k1 long, k2 long, m int, most int, tokens array<long>"
+LEVELLED = "doc long, n long, level int, tokens array<long>"
+
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    """Rows whose last column is a numpy array of long."""
+    offsets = np.cumsum([0] + [len(r[-1]) for r in rows], dtype=np.int32)
+    values = np.concatenate([r[-1] for r in rows]) if rows else np.zeros(0, np.int64)
+    flat = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)]
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    return pa.RecordBatch.from_arrays([*flat, lists], names=[*[name for name, _ in kinds], "tokens"])
+
+
+def _mapped(texts: DataFrame, make, kinds: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = shingle_set(text, words)
-                k1, k2 = set_digest(own)
-                n = len(own)
-                levels = sorted({level_of(n, sizes), level_of(-(-n * percent // 100), sizes)})
-                for level in levels:
-                    rows.append((doc, n, k1, k2, level, level == levels[0], tokens(own, level)))
+                rows += make(doc, text)
                 if len(rows) >= 2000:
-                    yield _signed(rows)
+                    yield _batch(rows, kinds)
                     rows = []
-            yield _signed(rows)
+            yield _batch(rows, kinds)
+
+    return texts_for_python(texts.select("doc", "text")).mapInArrow(run, schema)
+
 
-    return spread(texts).mapInArrow(sign, "doc long, n long, k1 long, k2 long, level int, first boolean, tokens array<long>")
+def signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Per document: set size, set digest and a sample of its shingles.
+
+    ``tokens`` holds the shingles that a partner may have in its own sample; the first ``m`` of them
+    are this set's sample. Of those, at most ``most`` may be in no other set if it has a partner.
+    """
 
+    def sign(doc, text):
+        own = shingle_set(text, words)
+        n = len(own)
+        m, wide = (
+            len(own) if bound >> 64 else int(np.searchsorted(own, np.uint64(bound)))
+            for bound in (sample_bound(n), sample_bound(n * percent // 100))
+        )
+        yield doc, n, *set_digest(own), m, most_alone(m, percent), own[:wide].astype(np.int64)
 
-def _signed(rows: list[tuple]) -> pa.RecordBatch:
-    offsets = np.cumsum([0] + [len(r[6]) for r in rows], dtype=np.int32)
-    values = np.concatenate([r[6] for r in rows]) if rows else np.zeros(0, np.int64)
-    flat = [pa.array([r[k] for r in rows], SIGNED.field(k).type) for k in range(6)]
-    return pa.RecordBatch.from_arrays([*flat, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], schema=SIGNED)
+    long, int_ = pa.int64(), pa.int32()
+    kinds = [("doc", long), ("n", long), ("k1", long), ("k2", long), ("m", int_), ("most", int_)]
+    return _mapped(texts, sign, kinds, SIGNED)
+
+
+def survivors(reps: DataFrame) -> DataFrame:
+    """Ids of the sets whose samples do not rule out a partner; most sets of a corpus go here.
+
+    One shuffle counts the sets of each sampled shingle, combined before it, and names the set of a
+    shingle that only one has; a second one counts those per set.
+    """
+    sampled = reps.select("doc", "m", F.posexplode("tokens").alias("at", "key"))
+    seen = sampled.groupBy("key").agg(F.count("*").alias("df"), F.max(F.when(F.col("at") < F.col("m"), F.col("doc"))).alias("doc"))
+    alone = seen.filter("df = 1 AND doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("alone"))
+    return reps.select("doc", "most").join(alone, "doc", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("most")).select("doc")
+
+
+def levelled(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Per document and level: set size and the tokens it is searched by.
+
+    A pair belongs to the level of its smaller set; so a set also joins the level of the smallest
+    set that may match it.
+    """
+    sizes = level_sizes(percent)
+
+    def place(doc, text):
+        own = shingle_set(text, words)
+        n = len(own)
+        for level in sorted({level_of(n, sizes), level_of(-(-n * percent // 100), sizes)}):
+            yield doc, n, level, tokens(own, level)
+
+    return _mapped(texts, place, [("doc", pa.int64()), ("n", pa.int64()), ("level", pa.int32())], LEVELLED)
 
 
 def prefixes(reps: DataFrame, percent: int) -> DataFrame:
@@ -229,31 +292,32 @@ def near_duplicates(
     null id gets no component and no links. Ids are integers; other columns are not looked at. An
     empty table gives no rows.
 
-    Equal sets are collapsed first. A link needs a common token in both prefixes, so candidates are
-    found by them: complete, but for hash shares that hold too few shingles of a set (chance below
-    exp(-40)). Candidates are verified in blocks, and a block gives one row per document, not pairs.
+    Equal sets are collapsed first, and sets of which a sample shows that they cannot have a partner
+    are left out. A link needs a common token in both prefixes, so candidates are found by them. Both
+    steps are complete but for samples that misrepresent their set (chance below exp(-40) each).
+    Candidates are verified in blocks, and a block gives one row per document, not pairs.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = staged(signatures(texts, words, percent), "signatures")
     known = signed.filter("doc IS NOT NULL AND n > 0")
-    again = known.groupBy("doc", "level").count().filter("count > 1")
-    if not again.isEmpty():
-        known = known.dropDuplicates(["doc", "level"])
-    classes = staged(
-        known.filter("first").groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "set-classes"
-    )
+    once = texts.filter("doc IS NOT NULL")
+    if not known.groupBy("doc").count().filter("count > 1").isEmpty():
+        known, once = known.dropDuplicates(["doc"]), once.dropDuplicates(["doc"])
+    classes = staged(known.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "set-classes")
     heads = classes.filter("copies > 1")
     others = staged(
-        known.filter("first").select("doc", "n", "k1", "k2").join(heads, ["n", "k1", "k2"]).filter("doc <> rep").select("doc"), "equal-sets"
+        known.select("doc", "n", "k1", "k2").join(heads, ["n", "k1", "k2"]).filter("doc <> rep").select("doc"), "equal-sets"
     )
     reps = known.join(small_or_plain(others), "doc", "left_anti")
-    edges = staged(candidate_edges(staged(prefixes(reps, percent), "prefixes")), "candidate-edges")
+    searched = staged(survivors(reps), "searched")
+    found = staged(levelled(once.join(small_or_plain(searched), "doc"), words, percent), "tokens")
+    edges = staged(candidate_edges(staged(prefixes(found, percent), "prefixes")), "candidate-edges")
     comps = connected_components(edges).select(F.col("title").alias("doc"), F.col("component").alias("comp"))
     cand = staged(
         comps.join(classes.select(F.col("rep").alias("doc"), "n", "copies"), "doc"), "candidates"
     )
     keyed = staged(block_keys(cand, percent), "blocks")
-    linked = staged(links(texts, small_or_plain(keyed, 100_000), words, percent), "links")
+    linked = staged(links(once, small_or_plain(keyed), words, percent), "links")
     joined = connected_components(linked.filter("doc <> root").select(F.col("doc").alias("source"), F.col("root").alias("target")))
     degree = linked.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links"))
     named = (
@@ -261,7 +325,7 @@ def near_duplicates(
         .join(degree, "rep", "left")
         .select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
-    rows = signed.filter("first").select("doc", "n", "k1", "k2")
+    rows = signed.select("doc", "n", "k1", "k2")
     return rows.join(named, ["n", "k1", "k2"], "left").select(
         F.col("doc").alias(id_col),
         F.col("n").alias("n_shingles"),
