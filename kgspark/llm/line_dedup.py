@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import BLANKS, lower_ascii, small_or_plain, staged
+from kgspark.llm.common import BLANKS, lower_ascii, staged
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -57,7 +57,8 @@ def drop_repeated_lines(
         .agg(F.array_sort(F.collect_set("pos")).alias("drops"))
     )
     dropped = staged(dropped, "dropped-lines")
-    whole = rows.join(small_or_plain(dropped, 50_000), "doc", "left").select(
+    # one plan at every size: texts and positions are dealt out by document
+    whole = rows.join(dropped.hint("merge"), "doc", "left").select(
         "doc",
         F.split("text", "\n", -1).alias("lines"),
         F.coalesce("drops", F.array().cast("array<int>")).alias("drops"),
