@@ -91,7 +91,7 @@ def described_edges(t):
     "merge_nodes",
     MENTIONS_SQL
     + """
-SELECT upper(term) AS title, 0::BIGINT AS page, 'TERM' AS type, string_agg(DISTINCT 'seen as ' || term, chr(10) ORDER BY 'seen as ' || term) AS description
+SELECT replace(upper(term), 'ẞ', 'SS') AS title, 0::BIGINT AS page, 'TERM' AS type, string_agg(DISTINCT 'seen as ' || term, chr(10) ORDER BY 'seen as ' || term) AS description
 FROM w GROUP BY 1
 """,
 )
@@ -105,7 +105,7 @@ def merge_nodes(t):
     "merge_edges",
     MENTIONS_SQL
     + """
-SELECT least(upper(x), upper(y)) AS source, greatest(upper(x), upper(y)) AS target, sum(1.0::DOUBLE) AS weight,
+SELECT least(replace(upper(x), 'ẞ', 'SS'), replace(upper(y), 'ẞ', 'SS')) AS source, greatest(replace(upper(x), 'ẞ', 'SS'), replace(upper(y), 'ẞ', 'SS')) AS target, sum(1.0::DOUBLE) AS weight,
   arg_min(x || ' before ' || y, doc_id * 10000000 + chunk_index * 10000 + i) AS description
 FROM pairs GROUP BY 1, 2
 """,
@@ -157,7 +157,7 @@ def merge_operations(t):
     "entity_graph",
     MENTIONS_SQL
     + """
-, p AS (SELECT *, least(upper(x), upper(y)) AS source, greatest(upper(x), upper(y)) AS target FROM pairs)
+, p AS (SELECT *, least(replace(upper(x), 'ẞ', 'SS'), replace(upper(y), 'ẞ', 'SS')) AS source, greatest(replace(upper(x), 'ẞ', 'SS'), replace(upper(y), 'ẞ', 'SS')) AS target FROM pairs)
 SELECT source, target, 0::BIGINT AS page, sum(1.0::DOUBLE) / count(DISTINCT doc_id * 100000 + chunk_index) AS per_chunk,
   count(DISTINCT doc_id * 100000 + chunk_index) AS n_chunks FROM p GROUP BY 1, 2
 """,
@@ -182,7 +182,7 @@ def term_edges(t):
     "entity_graph_top",
     MENTIONS_SQL.replace("range(0, len(tk), 100)", "range(0, len(tk), 1100)").replace("s // 100", "s // 1100").replace("s + 120]", "s + 1200]")
     + """
-, e AS (SELECT DISTINCT least(upper(x), upper(y)) AS source, greatest(upper(x), upper(y)) AS target FROM pairs)
+, e AS (SELECT DISTINCT least(replace(upper(x), 'ẞ', 'SS'), replace(upper(y), 'ẞ', 'SS')) AS source, greatest(replace(upper(x), 'ẞ', 'SS'), replace(upper(y), 'ẞ', 'SS')) AS target FROM pairs)
 SELECT title, count(*) AS degree FROM (SELECT source AS title FROM e UNION ALL SELECT target FROM e) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20
 """,
 )

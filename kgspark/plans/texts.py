@@ -585,10 +585,10 @@ def model_retry(t):
 
 MENTIONS_SQL = f"""
 WITH chunks AS ({_CHUNKS_SQL}),
-w AS (SELECT doc_id, chunk_index, unnest(regexp_extract_all(chunk, '[A-Za-z]{{9,}}')) AS term,
-  generate_subscripts(regexp_extract_all(chunk, '[A-Za-z]{{9,}}'), 1) AS i FROM chunks),
+w AS (SELECT doc_id, chunk_index, unnest(regexp_extract_all(chunk, '\\p{{L}}{{9,}}')) AS term,
+  generate_subscripts(regexp_extract_all(chunk, '\\p{{L}}{{9,}}'), 1) AS i FROM chunks),
 pairs AS (SELECT a.doc_id, a.chunk_index, a.i, a.term AS x, b.term AS y FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.chunk_index = b.chunk_index AND b.i = a.i + 1
-  WHERE upper(a.term) <> upper(b.term))
+  WHERE replace(upper(a.term), 'ẞ', 'SS') <> replace(upper(b.term), 'ẞ', 'SS'))
 """
 
 
@@ -603,8 +603,8 @@ def mention_records(t, size=_SIZE, overlap=_OVERLAP):
     "parse_records",
     MENTIONS_SQL
     + """
-SELECT doc_id, chunk_index, 'entity' AS kind, upper(term) AS title, 'TERM' AS type, NULL AS source, NULL AS target, 'seen as ' || term AS description, NULL AS weight FROM w
-UNION ALL SELECT doc_id, chunk_index, 'relationship', NULL, NULL, upper(x), upper(y), x || ' before ' || y, 1.0::DOUBLE FROM pairs
+SELECT doc_id, chunk_index, 'entity' AS kind, replace(upper(term), 'ẞ', 'SS') AS title, 'TERM' AS type, NULL AS source, NULL AS target, 'seen as ' || term AS description, NULL AS weight FROM w
+UNION ALL SELECT doc_id, chunk_index, 'relationship', NULL, NULL, replace(upper(x), 'ẞ', 'SS'), replace(upper(y), 'ẞ', 'SS'), x || ' before ' || y, 1.0::DOUBLE FROM pairs
 """,
 )
 def parse_records(t):
@@ -627,7 +627,7 @@ def extract_graph(t):
 
 @query(
     "cooccurrence_graph",
-    MENTIONS_SQL + "SELECT least(upper(x), upper(y)) AS source, greatest(upper(x), upper(y)) AS target, count(*) AS n FROM pairs GROUP BY 1, 2",
+    MENTIONS_SQL + "SELECT least(replace(upper(x), 'ẞ', 'SS'), replace(upper(y), 'ẞ', 'SS')) AS source, greatest(replace(upper(x), 'ẞ', 'SS'), replace(upper(y), 'ẞ', 'SS')) AS target, count(*) AS n FROM pairs GROUP BY 1, 2",
 )
 def cooccurrence_graph(t):
     edges = records.relationships(mention_records(t), ["doc_id", "chunk_index"])
