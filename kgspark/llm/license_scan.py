@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -102,8 +103,9 @@ def _grams(words: Column, n: int) -> Column:
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, paragraph (from 0), words, and the one- and two-word features of each line of a whole text."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("paragraph", "line"))
-    return rows.select("doc", "paragraph", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    # words are made before the lines are dealt out as rows, so that they are made once
+    lines = F.transform(F.split(F.col(text_col), "\n", -1), words_of)
+    return docs.select(F.col(id_col).alias("doc"), F.posexplode(lines).alias("paragraph", "words")).filter(F.size("words") > 0)
 
 
 def featured(rows: DataFrame) -> DataFrame:
@@ -128,13 +130,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
     """
     spark = docs.sparkSession
     families = [NONE, *TEMPLATES]
-    known = [(families.index(f), frame.format(t)) for f, ts in TEMPLATES.items() for t in ts for frame in FRAMES]
-    known += [(0, frame.format(t)) for t in OTHERS for frame in FRAMES[:2]]
-    given = _literal(spark, known).select("label", words_of(F.col("line")).alias("words"))
+    known = [{"label": families.index(f), "line": frame.format(t)} for f, ts in TEMPLATES.items() for t in ts for frame in FRAMES]
+    known += [{"label": 0, "line": frame.format(t)} for t in OTHERS for frame in FRAMES[:2]]
+    given = _literal(spark, known, "label:int,line:string").select("label", words_of(F.col("line")).alias("words"))
     lines = max(1, docs.count())
     drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(31)), F.lit(lines)) < max(1, most // 4))
     some = paragraphs(drawn, id_col, text_col).withColumn("at", F.xxhash64("words")).dropDuplicates(["at"])
-    wording = F.array(*[F.lit(g) for g in sorted(template_grams())])
+    wording = F.split(F.lit("\n".join(sorted(template_grams()))), "\n")
     plain = staged(
         some.filter(~F.arrays_overlap(_grams(F.col("words"), 3), wording)).orderBy("at").limit(most).select(F.lit(0.0).alias("label"), "words", "at"),
         "plain-paragraphs",
@@ -148,9 +150,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
     return Classifier(model, families, max(0.5, least or 0.0))
 
 
-def _literal(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
-    items = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(t).alias("line")) for k, t in rows])
-    return spark.range(1).select(F.inline(items))
+def _literal(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A few fixed rows, made in the JVM from one text."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")))
 
 
 def _plain_words(text: str) -> list[str]:
@@ -167,22 +169,25 @@ def template_grams() -> set[str]:
     return found
 
 
-def similarity(words: Column, family: Column) -> Column:
-    """How much of the family's best template is in a paragraph, or of a paragraph in the template; 0 to 1.
+def similarities(named: DataFrame) -> DataFrame:
+    """row, similarity of named(row, words, guess): how much of a paragraph and of the family's best template agree, 0 to 1.
 
-    Compared by distinct words in pairs, so a notice inside a longer line and a part of a wrapped
-    notice both count; a paragraph of fewer than four words has to be a template itself.
+    Compared by distinct pairs of words: the share of the template's that are in the paragraph, or of
+    a paragraph of four words or more that are in the template, so a notice inside a longer line and
+    a part of a wrapped notice both count. The templates are a fixed table, so it is broadcast.
     """
-    own = F.array_distinct(_grams(words, 2))
-    best = F.lit(0.0)
-    for name, texts in TEMPLATES.items():
+    rows = []
+    for family, texts in TEMPLATES.items():
         for t in texts:
             w = _plain_words(t)
             pairs = sorted({" ".join(w[k : k + 2]) for k in range(len(w) - 1)})
-            both = F.size(F.array_intersect(own, F.array(*[F.lit(p) for p in pairs])))
-            part = F.when(F.size(own) >= 3, both / F.greatest(F.size(own), F.lit(1))).otherwise(0.0)
-            best = F.greatest(best, F.when(family == name, F.greatest(both / len(pairs), part)).otherwise(0.0))
-    return best
+            rows += [{"guess": family, "template": t, "pair": p, "wanted": len(pairs)} for p in pairs]
+    templates = F.broadcast(_literal(named.sparkSession, rows, "guess:string,template:string,pair:string,wanted:int"))
+    held = named.select("row", "guess", F.array_distinct(_grams(F.col("words"), 2)).alias("own"))
+    both = held.select("row", "guess", F.size("own").alias("size"), F.explode("own").alias("pair")).join(templates, ["guess", "pair"])
+    per = both.groupBy("row", "template", "size", "wanted").agg(F.count("*").alias("both"))
+    part = F.when(F.col("size") >= 3, F.col("both") / F.col("size")).otherwise(0.0)
+    return per.groupBy("row").agg(F.max(F.greatest(F.col("both") / F.col("wanted"), part)).alias("similarity"))
 
 
 def find_licenses(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,14 +200,17 @@ def find_licenses(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id
     """
     names = F.array(*[F.lit(f) for f in classifier.families])
     scored = classifier.model.transform(featured(paragraphs(docs, id_col, text_col))).select(
-        "doc", "paragraph", "words", vector_to_array("probability").alias("p")
+        # a one-row explode keeps the filter below from working the chances out a second time
+        "doc", "paragraph", "words", F.explode(F.array(vector_to_array("probability"))).alias("p")
     )
-    likely = scored.filter(1 - F.get("p", 0) >= classifier.threshold)
+    # few of all lines; from here on only these are looked at
+    likely = staged(scored.filter(1 - F.get("p", 0) >= classifier.threshold), "licence-lines")
     best = F.array_max(F.slice("p", 2, len(classifier.families) - 1))
     named = likely.withColumn("probability", best).withColumn(
         "guess", F.get(names, (F.array_position("p", F.col("probability")) - 1).cast("int"))
     )
-    told = named.withColumn("similarity", similarity(F.col("words"), F.col("guess")))
+    named = named.withColumn("row", F.monotonically_increasing_id())
+    told = named.join(similarities(named), "row", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return told.select(
         F.col("doc").alias(id_col),
         "paragraph",
