@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.session import spread
+from kgspark.llm.common import texts_for_python
+
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 3_000
@@ -116,13 +117,17 @@ def predict(model: Model | None, texts: list[str | None]) -> pd.DataFrame:
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ``ORDER + 1`` bytes of the modelled texts, as numbers, and how often each occurs."""
-    found: list[np.ndarray] = []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     for raw, owner in _slices([letters(t) for t in texts]):
         code = np.zeros(len(raw) - ORDER, np.int64)
         for back in range(ORDER + 1):
             code = code * 256 + raw[back : len(raw) - ORDER + back]
-        found.append(code[owner[ORDER:] >= 0])
-    return np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        found.append(np.unique(code[owner[ORDER:] >= 0], return_counts=True))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # a slice's codes are few once they are counted
+    codes, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return codes, np.bincount(where, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
 
 
 def build_model(languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray, contexts: int = CONTEXTS) -> Model:
@@ -213,7 +218,7 @@ def fit(
                 code, n = grams(list(own["text"]))
                 yield pd.DataFrame({"lang": lang, "code": code, "n": n})
 
-    sums = drawn.select("lang", "text").mapInPandas(count, "lang string, code long, n long")
+    sums = texts_for_python(drawn.select("lang", "text")).mapInPandas(count, "lang string, code long, n long")
     found = sums.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "code"])
     if found.empty:
         return None
@@ -238,7 +243,7 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
         for batch in batches:
             yield predict(own, list(batch))
 
-    return spread(docs).withColumn(out, judge(F.col(text_col)))
+    return texts_for_python(docs).withColumn(out, judge(F.col(text_col)))
 
 
 def in_known_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kgspark.llm.common import staged
-from kgspark.session import spread
+from kgspark.llm.common import staged, texts_for_python
 
 WINDOW = 1024
 END_ID = 0
@@ -231,7 +230,7 @@ def tokenised(docs: DataFrame, vocabulary: str, pattern: str, id_col: str, text_
             yield _frame(rows, PIECE)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return spread(texts).mapInPandas(pieces, PIECE)
+    return texts_for_python(texts).mapInPandas(pieces, PIECE)
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
