@@ -19,6 +19,13 @@ TRAIN_PARAGRAPHS = 4_000
 MIN_SIMILARITY = 0.6
 # Share of ordinary paragraphs of the fold kept aside that may be taken for a licence.
 FALSE_SHARE = 0.001
+# Every so-manieth text by hash is kept aside; chances and similarities are counted in so many steps.
+FOLDS, STEPS = 5, 1_000
+# Lines with such a word may be notices in a wording that no template has.
+SEEDS = (
+    r"licen[sc]|lizenz|copyright|copyleft|©|permission|permitted|redistribut|warrant|public domain|rights reserved|"
+    r"creative commons|open.source|\b(spdx|[al]?gpl|cc|cc0|bsd|mpl|isc|mit|eupl|wtfpl)\b"
+)
 NONE, UNKNOWN = "none", "unknown"
 
 # Notices as the licences' own texts and common usage word them, by family.
@@ -118,36 +125,67 @@ class Classifier:
     model: LogisticRegressionModel
     families: list[str]
     threshold: float
+    similarity: float = MIN_SIMILARITY
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_PARAGRAPHS) -> Classifier:
     """Learn families from the templates, and what is no licence from about ``most`` paragraphs of ``docs``.
 
-    The paragraphs are of documents drawn by hash. Paragraphs that hold a template's three words in a
-    row are left out, as their label is not known. A fifth of them is kept aside: the threshold is
-    the smallest chance of being a licence that at most ``FALSE_SHARE`` of those reach, and no less
-    than a half.
+    The paragraphs learned from are of texts drawn by hash. Paragraphs that hold a template's three
+    words in a row or one of ``SEEDS`` are left out, as their label is not known. The threshold is
+    chosen on all other lines of every ``FOLDS``-th text of the table: the smallest chance of being a
+    licence that at most ``FALSE_SHARE`` of those lines reach (or one line of fewer than a thousand),
+    and no less than a half. Of the lines that reach it no larger share may be confirmed by a
+    template: the similarity for that is raised over ``MIN_SIMILARITY`` if it has to be.
     """
     spark = docs.sparkSession
     families = [NONE, *TEMPLATES]
     known = [{"label": families.index(f), "line": frame.format(t)} for f, ts in TEMPLATES.items() for t in ts for frame in FRAMES]
     known += [{"label": 0, "line": frame.format(t)} for t in OTHERS for frame in FRAMES[:2]]
     given = _literal(spark, known, "label:int,line:string").select("label", words_of(F.col("line")).alias("words"))
-    lines = max(1, docs.count())
-    drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(31)), F.lit(lines)) < max(1, most // 4))
-    some = paragraphs(drawn, id_col, text_col).withColumn("at", F.xxhash64("words")).dropDuplicates(["at"])
-    wording = F.split(F.lit("\n".join(sorted(template_grams()))), "\n")
-    plain = staged(
-        some.filter(~F.arrays_overlap(_grams(F.col("words"), 3), wording)).orderBy("at").limit(most).select(F.lit(0.0).alias("label"), "words", "at"),
-        "plain-paragraphs",
-    )
-    rows = featured(given.select(F.col("label").cast("double").alias("label"), "words").unionByName(plain.filter("pmod(at, 5) <> 0").drop("at")))
+    # by the text, so that rows with a null id or a copy of a text need no care
+    aside = F.pmod(F.xxhash64(F.col(text_col), F.lit(31)), F.lit(FOLDS)) == 0
+    share = max(1, most // 4) / max(1, docs.count()) * FOLDS / (FOLDS - 1)
+    drawn = docs.filter(~aside & (F.pmod(F.xxhash64(F.col(text_col), F.lit(32)), F.lit(1 << 40)) < share * (1 << 40)))
+    some = ordinary(paragraphs(drawn, id_col, text_col)).withColumn("at", F.xxhash64("words")).dropDuplicates(["at"])
+    plain = staged(some.orderBy("at").limit(most).select(F.lit(0.0).alias("label"), "words", "at"), "plain-paragraphs")
+    rows = featured(given.select(F.col("label").cast("double").alias("label"), "words").unionByName(plain.drop("at")))
     weight = F.when(F.col("label") == 0, 1.0).otherwise(8.0)
     train = staged(rows.select("label", "features", weight.alias("weight")), "licence-training")
     model = LogisticRegression(regParam=1e-3, maxIter=40, weightCol="weight", family="multinomial").fit(train)
-    aside = model.transform(featured(plain.filter("pmod(at, 5) = 0"))).select((1 - F.get(vector_to_array("probability"), 0)).alias("p"))
-    least = aside.agg(F.percentile("p", 1 - FALSE_SHARE).alias("p")).first()["p"]
-    return Classifier(model, families, max(0.5, least or 0.0))
+    # at most ``most`` keys: lines that were learned say nothing about others
+    new = ordinary(paragraphs(docs.filter(aside), id_col, text_col)).withColumn("at", F.xxhash64("words"))
+    new = new.join(F.broadcast(plain.select("at")), "at", "left_anti")
+    scored = model.transform(featured(new)).select("words", F.explode(F.array(vector_to_array("probability"))).alias("p"))
+    may_be = 1 - F.get("p", 0) >= 0.5
+    # words and chances only of the few lines that any threshold lets pass
+    kept = scored.select(_step(1 - F.get("p", 0)).alias("step"), *[F.when(may_be, F.col(c)).alias(c) for c in ("words", "p")])
+    kept = staged(kept, "licence-fold")
+    threshold = max(0.5, _least(kept))
+    told = _guessed(kept.filter(1 - F.get("p", 0) >= threshold), families)
+    told = told.select("row").join(similarities(told), "row", "left").select(_step(F.coalesce("similarity", F.lit(0.0))).alias("step"))
+    return Classifier(model, families, threshold, max(MIN_SIMILARITY, _least(told)))
+
+
+def ordinary(lines: DataFrame) -> DataFrame:
+    """Lines that hold no template's three words in a row and no word that licences are known by."""
+    wording = F.split(F.lit("\n".join(sorted(template_grams()))), "\n")
+    return lines.filter(~F.concat_ws(" ", "words").rlike(SEEDS) & ~F.arrays_overlap(_grams(F.col("words"), 3), wording))
+
+
+def _step(share: Column) -> Column:
+    return F.least(F.floor(share * STEPS), F.lit(STEPS - 1)).cast("int")
+
+
+def _least(steps: DataFrame) -> float:
+    """The smallest step that at most ``FALSE_SHARE`` of all rows reach, or one row; no higher than the last step."""
+    counts = {r["step"]: r["count"] for r in steps.groupBy("step").count().collect()}
+    room = max(1.0, FALSE_SHARE * sum(counts.values()))
+    for step in range(STEPS - 1, -1, -1):
+        room -= counts.get(step, 0)
+        if room < 0:
+            return min(step + 1, STEPS - 1) / STEPS
+    return 0.0
 
 
 def _literal(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
@@ -190,31 +228,34 @@ def similarities(named: DataFrame) -> DataFrame:
     return per.groupBy("row").agg(F.max(F.greatest(F.col("both") / F.col("wanted"), part)).alias("similarity"))
 
 
+def _guessed(likely: DataFrame, families: list[str]) -> DataFrame:
+    """A staged table with the likeliest family of each row, its chance, and a number for the row."""
+    names = F.array(*[F.lit(f) for f in families])
+    best = likely.withColumn("probability", F.array_max(F.slice("p", 2, len(families) - 1)))
+    guess = F.get(names, (F.array_position("p", F.col("probability")) - 1).cast("int"))
+    return best.withColumn("guess", guess).withColumn("row", F.monotonically_increasing_id())
+
+
 def find_licenses(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``paragraph``, ``family``, ``probability``, ``similarity``: a row per licence paragraph.
 
     A paragraph is a line of the whole text, counted from 0. It is reported when its chance of being a
     licence reaches the threshold: under the likeliest family if a template of it confirms that by
-    ``MIN_SIMILARITY``, else as ``unknown``. Null and empty texts and lines without a word give no
+    the similarity found by ``fit``, else as ``unknown``. Null and empty texts and lines without a word give no
     rows. Rows that repeat, or have a null id, are reported each. Other columns are not looked at.
     """
-    names = F.array(*[F.lit(f) for f in classifier.families])
     scored = classifier.model.transform(featured(paragraphs(docs, id_col, text_col))).select(
         # a one-row explode keeps the filter below from working the chances out a second time
         "doc", "paragraph", "words", F.explode(F.array(vector_to_array("probability"))).alias("p")
     )
     # few of all lines; from here on only these are looked at
     likely = staged(scored.filter(1 - F.get("p", 0) >= classifier.threshold), "licence-lines")
-    best = F.array_max(F.slice("p", 2, len(classifier.families) - 1))
-    named = likely.withColumn("probability", best).withColumn(
-        "guess", F.get(names, (F.array_position("p", F.col("probability")) - 1).cast("int"))
-    )
-    named = named.withColumn("row", F.monotonically_increasing_id())
+    named = _guessed(likely, classifier.families)
     told = named.join(similarities(named), "row", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return told.select(
         F.col("doc").alias(id_col),
         "paragraph",
-        F.when(F.col("similarity") >= MIN_SIMILARITY, F.col("guess")).otherwise(UNKNOWN).alias("family"),
+        F.when(F.col("similarity") >= classifier.similarity, F.col("guess")).otherwise(UNKNOWN).alias("family"),
         "probability",
         "similarity",
     )

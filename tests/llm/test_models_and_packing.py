@@ -306,6 +306,27 @@ def test_licences_of_the_table(spark):
     assert got == want and want
 
 
+def test_licences_in_unlisted_wordings_do_not_lift_the_threshold(spark):
+    plain = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    want = license_scan.find_licenses(plain, license_scan.fit(plain)).count()
+    # no three words in a row are a template's
+    odd = "concat('Note: released as ', id, ' under MIT License. See the file for details.')"
+    others = spark.range(300).selectExpr("id + 1000000 AS doc_id", f"{odd} AS text")
+    both = plain.unionByName(others)
+    classifier = license_scan.fit(both)
+    got = license_scan.find_licenses(both, classifier).collect()
+    assert sum(r.doc_id < 1000000 for r in got) == want
+    assert classifier.threshold == 0.5 and sum(r.doc_id >= 1000000 for r in got) >= 250
+
+
+def test_threshold_counts_the_whole_fold(spark):
+    # 10,000 rows in steps 0 to 99: a share of 0.001 is ten rows, and one row is let pass of fewer than a thousand
+    steps = spark.range(10_000).selectExpr("cast(if(id < 10, 900, if(id < 25, 700, id % 100)) AS int) AS step")
+    assert license_scan._least(steps) == 0.701
+    assert license_scan._least(steps.filter("id = 0 OR id >= 9900")) == 0.1
+    assert license_scan._least(steps.limit(0)) == 0.0
+
+
 # ---- URLs
 
 
