@@ -22,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are in none of the learned languages go; ``lang`` of the others is left as it is."""
     model = language_id.fit(docs)
-    return language_id.in_known_language(docs, model).select(COLUMNS)
+    return language_id.in_known_language(docs, model, most=language_id.limits(docs, model)).select(COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,10 @@ LANGUAGES = 256
 HELD_OUT = 2
 # A text that no learned language codes in fewer bits than it has is in none of them.
 MAX_BITS_PER_BYTE = 8.0
+# Share of a language's labelled documents not learned from that its limit is read from, in steps of so many bits.
+KNOWN_SHARE, STEP_BITS = 0.999, 0.02
+# Three standard deviations of a byte's bits: what a mean over n bytes may be off is this over the root of n.
+MARGIN_BITS = 8.0
 UNKNOWN = "und"
 
 SLICE_BYTES = 1 << 20
@@ -78,6 +82,7 @@ class Model:
     symbols: int
     context: np.ndarray  # of the last ORDER symbols, the longest kept one
     bits: np.ndarray
+    shares: dict[str, float] | None = None  # of the learnable documents of each language, those learned from
 
 
 def code_lengths(model: Model, parts: list[bytes]) -> np.ndarray:
@@ -98,11 +103,11 @@ def code_lengths(model: Model, parts: list[bytes]) -> np.ndarray:
 
 
 def predict(model: Model | None, texts: list[str | None]) -> pd.DataFrame:
-    """``lang_pred``, ``score`` and ``bits_per_byte`` of each text."""
+    """``lang_pred``, ``score``, ``bits_per_byte`` and ``length`` in modelled bytes of each text."""
     parts = [letters(t) for t in texts]
     known = np.array([has_letter(t) for t in texts], bool)
     if model is None or not len(texts):
-        return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "bits_per_byte": np.nan})
+        return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "bits_per_byte": np.nan, "length": 1})
     bits = code_lengths(model, parts)
     best = bits.argmin(axis=1)
     least = bits[np.arange(len(texts)), best]
@@ -111,7 +116,12 @@ def predict(model: Model | None, texts: list[str | None]) -> pd.DataFrame:
     names[~known] = UNKNOWN
     length = np.array([max(1, len(p)) for p in parts])
     return pd.DataFrame(
-        {"lang_pred": names, "score": np.where(known, share, 0.0), "bits_per_byte": np.where(known, least / length, np.nan)}
+        {
+            "lang_pred": names,
+            "score": np.where(known, share, 0.0),
+            "bits_per_byte": np.where(known, least / length, np.nan),
+            "length": length,
+        }
     )
 
 
@@ -187,6 +197,12 @@ def learnable(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != HELD_OUT, F.lit(False))
 
 
+def _drawn(ids: Column, lang: Column, shares: dict[str, float]) -> Column:
+    """Whether a learnable row is one of its language's share."""
+    known = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    return F.pmod(F.xxhash64(ids, F.lit(17)), F.lit(1 << 20)) / float(1 << 20) < F.coalesce(known[lang], F.lit(0.0))
+
+
 def fit(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -207,10 +223,9 @@ def fit(
     sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
         return None
-    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], docs_per_language / r["count"])])
-    drawn = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
-        F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20) < F.coalesce(shares[F.col("lang")], F.lit(0.0))
-    )
+    shares = {r["lang"]: docs_per_language / r["count"] for r in sizes}
+    drawn = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    drawn = drawn.filter(_drawn(F.col("id"), F.col("lang"), shares))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -224,7 +239,49 @@ def fit(
         return None
     names = sorted(found["lang"].unique())
     lang = found["lang"].map({x: k for k, x in enumerate(names)}).to_numpy()
-    return build_model(names, lang, found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64), contexts)
+    model = build_model(names, lang, found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64), contexts)
+    model.shares = shares
+    return model
+
+
+def limits(
+    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> dict[str, float]:
+    """The bits per byte that a long text of each language may take, from all labelled documents not learned from.
+
+    Of a language's documents that the model finds to be in it, the bits per byte less the margin of
+    their length are counted in steps. The limit lies over the ``KNOWN_SHARE`` quantile by as much as
+    that lies over the median, and by ``MARGIN_BITS`` over the root of the number of documents, so
+    few documents give a loose limit. A language without such a document has none.
+    """
+    if model is None:
+        return {}
+    used = F.coalesce(learnable(id_col) & _drawn(F.col(id_col), F.col(lang_col), model.shares or {}), F.lit(False))
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~used)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told = predict(shared.value, list(batch["text"]))
+            told = told[(told["lang_pred"] == batch["lang"].reset_index(drop=True)) & told["bits_per_byte"].notna()]
+            over = told["bits_per_byte"] - MARGIN_BITS / np.sqrt(told["length"])
+            steps = pd.DataFrame({"lang": told["lang_pred"], "step": np.floor(over / STEP_BITS).astype("int64")})
+            yield steps.groupby(["lang", "step"]).size().reset_index(name="n")
+
+    narrow = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sums = texts_for_python(narrow).mapInPandas(count, "lang string, step long, n long").groupBy("lang", "step").agg(F.sum("n").alias("n"))
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in sums.collect():
+        found.setdefault(r["lang"], []).append((r["step"], r["n"]))
+    return {lang: limit_of(steps) for lang, steps in found.items()}
+
+
+def limit_of(steps: list[tuple[int, int]]) -> float:
+    """The limit from (step, documents) of one language."""
+    step, n = np.array(sorted(steps)).T
+    upto, total = np.cumsum(n), n.sum()
+    middle, high = ((step[np.searchsorted(upto, q * total)] + 1) * STEP_BITS for q in (0.5, KNOWN_SHARE))
+    return float(high + (high - middle) + MARGIN_BITS / np.sqrt(total))
 
 
 def with_language(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "language") -> DataFrame:
@@ -241,15 +298,31 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for batch in batches:
-            yield predict(own, list(batch))
+            yield predict(own, list(batch))[["lang_pred", "score", "bits_per_byte"]]
 
     return texts_for_python(docs).withColumn(out, judge(F.col(text_col)))
 
 
-def in_known_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` without texts in none of the learned languages: ``und``, or coded in 8 bits a byte or more."""
-    out = "language"
-    while out in docs.columns:
-        out += "_"
-    kept = (F.col(f"{out}.lang_pred") != UNKNOWN) & (F.col(f"{out}.bits_per_byte") < MAX_BITS_PER_BYTE)
-    return with_language(docs, model, text_col, out).filter(kept).select(*docs.columns)
+def in_known_language(
+    docs: DataFrame, model: Model | None, text_col: str = "text", most: dict[str, float] | None = None
+) -> DataFrame:
+    """``docs`` without texts in none of the learned languages.
+
+    These are ``und``, or coded in no less than the limit that ``most`` (of ``limits``) has for the
+    likeliest language, plus ``MARGIN_BITS`` over the root of the text's bytes, and anyway in 8 bits
+    a byte or more. Without a model nothing is known of any language: all texts with a letter stay.
+    """
+    if model is None:
+        return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    shared = docs.sparkSession.sparkContext.broadcast((model, most or {}))
+
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own, most_bits = shared.value
+        for batch in batches:
+            told = predict(own, list(batch))
+            limit = np.array([most_bits.get(x, MAX_BITS_PER_BYTE) for x in told["lang_pred"]], float)
+            limit = np.minimum(MAX_BITS_PER_BYTE, limit + MARGIN_BITS / np.sqrt(told["length"]))
+            yield (told["lang_pred"] != UNKNOWN) & (told["bits_per_byte"] < limit)
+
+    return texts_for_python(docs).filter(known(F.col(text_col)))

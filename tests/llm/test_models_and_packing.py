@@ -218,6 +218,27 @@ def test_language_of_odd_rows(spark):
     assert language_id.with_language(frame(spark, []), model).count() == 0
 
 
+def test_related_languages_do_not_pass_as_learned_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    most = language_id.limits(docs, model)
+    assert set(most) == {"de", "en", "es", "fr"} and all(2 < most[x] < 5 for x in ("en", "es", "fr")), most
+    others = ["Il gatto nero dorme sulla sedia vicino alla finestra della cucina. " * 20, "O menino foi para a escola com os seus amigos na cidade. " * 20]
+    rows = frame(spark, list(enumerate(others)))
+    told = [(r.language.lang_pred, r.language.bits_per_byte) for r in language_id.with_language(rows, model).collect()]
+    assert all(bits > most[lang] + 0.5 for lang, bits in told), (told, most)
+    assert language_id.in_known_language(rows, model).count() == 2
+    assert language_id.in_known_language(rows, model, most=most).count() == 0
+    assert language_id.in_known_language(docs, model, most=most).count() == language_id.in_known_language(docs, model).count()
+    assert {r.doc_id for r in language_id.in_known_language(frame(spark, ODD), None).collect()} == {5, None, 6}
+
+
+def test_limit_lies_over_the_quantile():
+    # median in step 100, the quantile of 0.999 in step 149, and one document far out
+    assert language_id.limit_of([(100, 9000), (149, 999), (400, 1)]) == pytest.approx(3.0 + (3.0 - 2.02) + 0.08)
+    assert language_id.limit_of([(100, 4)]) == pytest.approx(2.02 + 4)
+
+
 # ---- secrets
 
 
