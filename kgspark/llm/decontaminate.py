@@ -48,10 +48,10 @@ def contaminated(
     them. Other columns are not looked at. An empty table on either side gives no rows.
 
     An item's sketch is its smallest ``m`` hashes. If a document holds the required share of the
-    item, it misses fewer than ``m``, so one of them is in it: the search loses nothing. Items are
-    partitioned by size (powers of two), which sets ``m`` and the largest hash a sketch of the
-    partition holds; a document's sketch for a partition is its hashes up to that bound, so hashes
-    beyond the largest bound never leave the row. Candidates are verified on whole shingle sets.
+    item, it misses fewer than ``m``, so one of them is in it: the search loses nothing. The
+    search is not partitioned by size: a document's sketch is its hashes up to the largest hash in
+    any item's sketch. With short items that is most of its hashes; only those beyond never leave
+    the row. Candidates are verified on whole shingle sets.
     """
     text = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL")
     bench = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("item IS NOT NULL")
