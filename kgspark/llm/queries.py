@@ -12,6 +12,7 @@ from kgspark.llm.exact_dedup import exact_duplicates
 from kgspark.llm import language_id, license_scan, packing, secret_scan
 from kgspark.llm.line_dedup import drop_repeated_lines
 from kgspark.llm.ngram_join import near_duplicates
+from kgspark.llm.periodic_runs import periodic_runs
 from kgspark.llm.sharding import SHARDS, TABLE_SIZE, lookup_table, place
 from kgspark.llm.url_filter import judge_urls
 
@@ -247,3 +248,40 @@ def urls(spark: SparkSession, folder: str) -> DataFrame:
 def licenses(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return license_scan.find_licenses(docs, license_scan.fit(docs))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words of every tenth hash of an id made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    planted = F.expr(
+        """array_join(transform(w, (x, i) -> element_at(w, cast(if(i < a, i, a + (i - a) % p) AS int) + 1)), ' ')"""
+    )
+    return (
+        docs.withColumn("h", h)
+        # the words are made for the planted texts alone
+        .withColumn("w", F.when(F.col("h") % 10 == 0, words))
+        .withColumn("a", F.expr("CASE WHEN size(w) > 0 THEN (h div 10) % size(w) END"))
+        .withColumn("p", F.expr("1 + (size(w) - a) div (3 + (h div 10) % 8)"))
+        .select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+    )
+
+
+@query("op11_periodic_runs")
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(with_planted_periods(table(spark, folder, "documents")))
+    longest = F.expr(
+        """reduce(runs, cast(null AS struct<start:bigint,length:bigint,period:bigint>),
+        (best, r) -> if(best IS NULL OR r.length > best.length, r, best))"""
+    )
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.start",
+        "longest.length",
+        "longest.period",
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
