@@ -13,6 +13,7 @@ from kgspark.llm import language_id, license_scan, packing, secret_scan
 from kgspark.llm.line_dedup import drop_repeated_lines
 from kgspark.llm.ngram_join import near_duplicates
 from kgspark.llm.periodic_runs import periodic_runs
+from kgspark.llm.phrase_mining import collocations
 from kgspark.llm.sharding import SHARDS, TABLE_SIZE, lookup_table, place
 from kgspark.llm.url_filter import judge_urls
 
@@ -285,3 +286,40 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+def _grams_sql(size: int) -> str:
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
+    return f"SELECT lang, {size} AS size, unnest(list_transform(range(1, len(w) - {size - 2}), lambda i: {gram})) AS phrase FROM words"
+
+
+@query(
+    "op12_phrase_mining",
+    rf"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({KEY.format("coalesce(text, '')")}, '[.,;:!?
+-]')) AS piece FROM documents),
+    words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces),
+    grams AS ({_grams_sql(1)} UNION ALL {_grams_sql(2)} UNION ALL {_grams_sql(3)}),
+    f AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS a FROM grams GROUP BY lang, phrase),
+    totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+    candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
+    longer AS (
+        SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM candidates WHERE size = 3),
+    covered AS (SELECT lang, phrase, max(a) AS most FROM longer GROUP BY lang, phrase),
+    kept AS (
+        SELECT c.* FROM candidates c LEFT JOIN covered v ON v.lang = c.lang AND v.phrase = c.phrase
+        WHERE most IS NULL OR 100 * most < 50 * a),
+    cuts AS (
+        SELECT lang, phrase, a, 1 AS k, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM kept
+        UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM kept WHERE size = 3),
+    scored AS (
+        SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a))::BIGINT AS score
+        FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = x JOIN f r ON r.lang = c.lang AND r.phrase = y),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+)
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
