@@ -15,6 +15,7 @@ from kgspark.llm.ngram_join import near_duplicates
 from kgspark.llm.periodic_runs import periodic_runs
 from kgspark.llm.phrase_mining import collocations
 from kgspark.llm.sharding import SHARDS, TABLE_SIZE, lookup_table, place
+from kgspark.llm.site_style_tree import extract_main_text
 from kgspark.llm.url_filter import judge_urls
 
 QUERIES = {}
@@ -298,7 +299,8 @@ def _grams_sql(size: int) -> str:
     rf"""
     WITH pieces AS (
         SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({KEY.format("coalesce(text, '')")}, '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
     words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces),
     grams AS ({_grams_sql(1)} UNION ALL {_grams_sql(2)} UNION ALL {_grams_sql(3)}),
     f AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS a FROM grams GROUP BY lang, phrase),
@@ -323,3 +325,9 @@ def _grams_sql(size: int) -> str:
 )
 def phrases(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"))
+
+
+@query("op13_html_extraction")
+def articles(spark: SparkSession, folder: str) -> DataFrame:
+    found = extract_main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
