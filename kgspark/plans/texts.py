@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from kgspark import config
@@ -473,7 +475,33 @@ SELECT doc_id, b AS chunk_index, string_agg(p, '' ORDER BY rn) AS chunk FROM eve
 """,
 )
 def chunk_recursive(t):
-    return chunk.chunk_recursive(t.documents.select("doc_id", "text"), "doc_id", "text", RECURSIVE_SIZE, RECURSIVE_OVERLAP)
+    return chunk.chunk_recursive(spread(t.documents.select("doc_id", "text")), "doc_id", "text", RECURSIVE_SIZE, RECURSIVE_OVERLAP)
+
+
+WINDOW_WORDS, WINDOW_STEP = 80, 60
+
+
+def word_windows(text: str):
+    """A user's splitter: windows of words, with their counts."""
+    words = re.findall(r"[^ \t\n\r]+", text)
+    for start in range(0, len(words), WINDOW_STEP):
+        window = words[start : start + WINDOW_WORDS]
+        yield " ".join(window), len(window)
+
+
+@query(
+    "chunk_udtf",
+    rf"""
+WITH w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT doc_id, source, w, unnest(range(0, len(w), {WINDOW_STEP})) AS s FROM w)
+SELECT doc_id, source, (s // {WINDOW_STEP})::INTEGER AS chunk_index, array_to_string(w[s + 1 : s + {WINDOW_WORDS}], ' ') AS chunk,
+  len(w[s + 1 : s + {WINDOW_WORDS}])::INTEGER AS n_tokens FROM c
+""",
+)
+def chunk_udtf(t):
+    docs = spread(t.documents.select("doc_id", "source", "text"))
+    chunk.register_chunker(docs.sparkSession, "word_windows", word_windows)
+    return chunk.chunk(docs, "text", "word_windows")
 
 
 CHUNK_CHARS_SQL = f"""
@@ -499,7 +527,7 @@ SELECT doc_id, b AS chunk_index, string_agg(p, '' ORDER BY rn) AS chunk, sum(len
     CHUNK_CHARS_SQL,
 )
 def chunk_chars(t):
-    return chunk.chunk_chars(t.documents.select("doc_id", "text"), "doc_id", "text")
+    return chunk.chunk_chars(spread(t.documents.select("doc_id", "text")), "doc_id", "text")
 
 
 @query(

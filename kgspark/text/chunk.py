@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark import config
 from kgspark.functions import tokens as tok
 from kgspark.operators import ordered
-from kgspark.text import budget
+from kgspark.text import split
+
+# Chunks that go back to Spark at once.
+CHUNKS_PER_BATCH = 5_000
+_chunkers: dict[str, set[str]] = {}
 
 # Sentence end.
 SENTENCE_END = r"(?<=[.!?])\s+"
@@ -97,6 +102,34 @@ def chunk_sentences(df: DataFrame, column: str) -> DataFrame:
     return df.select(*kept, F.posexplode(pieces).alias("chunk_index", "chunk"))
 
 
+def _by_offsets(df: DataFrame, key: str, column: str, cut: Callable[[str], Iterable[tuple]], more: str = "") -> DataFrame:
+    """Chunks that ``cut`` makes of each text, one Arrow pass without a shuffle."""
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, chunk_index long, chunk string{more}"
+
+    names = [key, "chunk_index", "chunk", "n_chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.columns
+            owner, chunks = [], []
+            for row, text in enumerate(texts.to_pylist()):
+                made = [(i, *c) for i, c in enumerate(cut(text))] if text else []
+                owner += [row] * len(made)
+                chunks += made
+                if len(chunks) >= CHUNKS_PER_BATCH:
+                    yield _batch(keys, owner, chunks, names)
+                    owner, chunks = [], []
+            if chunks:
+                yield _batch(keys, owner, chunks, names)
+
+    return df.select(key, column).mapInArrow(run, schema)
+
+
+def _batch(keys: pa.Array, owner: list[int], chunks: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = [keys.take(pa.array(owner, pa.int64())), *map(pa.array, zip(*chunks))]
+    return pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+
+
 def chunk_chars(
     df: DataFrame,
     key: str,
@@ -107,31 +140,16 @@ def chunk_chars(
 ) -> DataFrame:
     """Chunks by characters: pieces at the separator, packed in order up to ``size``.
 
-    A piece longer than ``size`` is cut into sliding windows first.
+    A piece longer than ``size`` is cut into sliding windows first. A piece keeps the separator that
+    followed it. Null and empty texts have no chunks.
     """
-    step = size - overlap
-    whole = F.split(F.col(column), separator)
-    last = F.size(whole) - 1
-    # each piece keeps the separator that followed it
-    kept = F.transform(whole, lambda p, i: F.when(i < last, F.concat(p, F.lit(separator))).otherwise(p))
-
-    def slide(p):
-        windows = F.transform(
-            F.sequence(F.lit(0), F.greatest(F.length(p) - 1, F.lit(0)), F.lit(step)), lambda s: F.substring(p, s + 1, F.lit(size))
-        )
-        return F.when(F.length(p) > size, windows).otherwise(F.array(p))
 
-    pieces = (
-        df.select(key, F.posexplode(F.flatten(F.transform(kept, slide))).alias("__pos", "__piece"))
-        .filter(F.col("__piece") != "")
-        .withColumn("__len", F.length("__piece").cast("long"))
-    )
-    packed = budget.pack(pieces, [key], ["__pos"], "__len", size, "chunk_index")
-    lines = F.sort_array(F.collect_list(F.struct("__pos", "__piece")))
-    return packed.groupBy(key, "chunk_index").agg(
-        F.array_join(F.transform(lines, lambda s: s["__piece"]), "").alias("chunk"),
-        F.sum("__len").alias("n_chars"),
-    )
+    def cut(text: str):
+        for pieces in split.window_spans(text, size, overlap, separator):
+            chunk = "".join([text[low:high] for low, high in pieces])
+            yield chunk, len(chunk)
+
+    return _by_offsets(df, key, column, cut, ", n_chars long")
 
 
 def chunk_recursive(
@@ -147,51 +165,53 @@ def chunk_recursive(
     A piece that is too long is split at the next separator: paragraphs, lines,
     words, at last characters. Pieces are packed in order, and each chunk starts
     with the last whole pieces of the one before, up to ``overlap`` characters.
+    Null and empty texts have no chunks.
     """
-    room = size - overlap
-    pieces = F.array(F.col(column))
-
-    def cut_at(separator):
-        def parts(p):
-            whole = F.split(p, separator, -1)
-            last = F.size(whole) - 1
-            kept = F.transform(whole, lambda x, i: F.when(i < last, F.concat(x, F.lit(separator))).otherwise(x))
-            return F.when(F.length(p) > room, kept).otherwise(F.array(p))
-
-        return parts
-
-    for separator in separators:
-        pieces = F.flatten(F.transform(pieces, cut_at(separator)))
-    windows = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.length(p) - 1, F.lit(0)), F.lit(room)), lambda s: F.substring(p, s + 1, F.lit(room)))
-    pieces = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > room, windows(p)).otherwise(F.array(p))))
-    rows = (
-        df.filter(F.col(column).isNotNull())
-        .select(key, F.posexplode(pieces).alias("__pos", "__piece"))
-        .filter(F.col("__piece") != "")
-        .withColumn("__len", F.length("__piece").cast("long"))
-    )
-    packed = budget.pack(rows, [key], ["__pos"], "__len", room, "chunk_index")
-    # inside one document's chunk
-    back = F.sum("__len").over(Window.partitionBy(key, "chunk_index").orderBy(F.desc("__pos")))
-    last_chunk = F.max("chunk_index").over(Window.partitionBy(key))
-    marked = packed.withColumn("__again", (back <= overlap) & (F.col("chunk_index") < last_chunk))
-    at = F.when(F.col("__again"), F.array(F.col("chunk_index"), F.col("chunk_index") + 1)).otherwise(F.array("chunk_index"))
-    lines = F.sort_array(F.collect_list(F.struct("__pos", "__piece")))
-    return (
-        marked.select(key, F.explode(at).alias("chunk_index"), "__pos", "__piece")
-        .groupBy(key, "chunk_index")
-        .agg(F.array_join(F.transform(lines, lambda s: s["__piece"]), "").alias("chunk"))
-    )
+
+    def cut(text: str):
+        return ((text[low:high],) for low, high in split.recursive_spans(text, size, overlap, separators))
+
+    return _by_offsets(df, key, column, cut)
+
+
+def register_chunker(
+    spark: SparkSession, name: str, splitter: Callable[[str], Iterable[str | tuple[str, int | None]]]
+) -> None:
+    """Make a user's splitter a table function of the session, under ``name``.
+
+    ``splitter`` gets one whole text and yields its chunks, or chunks with their token counts. In SQL:
+    ``SELECT d.id, c.* FROM docs d, LATERAL name(d.text) c``; in ``chunk``: ``strategy=name``.
+    """
+
+    class Chunker:
+        def eval(self, text: str):
+            if text is not None:
+                for index, made in enumerate(splitter(text)):
+                    chunk, count = (made, None) if isinstance(made, str) else made
+                    yield index, chunk, count
+
+    hook = F.udtf(Chunker, returnType="chunk_index int, chunk string, n_tokens int", useArrow=True)
+    spark.udtf.register(name, hook)
+    _chunkers.setdefault(spark.sparkContext.applicationId, set()).add(name)
+
+
+def _by_table_function(df: DataFrame, column: str, name: str) -> DataFrame:
+    spark = df.sparkSession
+    kept = [f"d.`{c}`" for c in df.columns if c != column]
+    sql = f"SELECT {', '.join([*kept, 'c.*'])} FROM {{docs}} d, LATERAL {name}(d.`{column}`) c"
+    return spark.sql(sql, docs=df)
 
 
 def chunk(df: DataFrame, column: str, strategy: str = "tokens", **options) -> DataFrame:
-    """Chunk one text per row by tokens, by sentences, or not at all."""
+    """Chunk one text per row by tokens, by sentences, not at all, or by a registered splitter."""
     if strategy == "tokens":
         return chunk_tokens(df, column, **options)
     if strategy == "sentence":
         return chunk_sentences(df, column)
     if strategy == "none":
         return df.withColumnRenamed(column, "chunk").withColumn("chunk_index", F.lit(0))
+    if strategy in _chunkers.get(df.sparkSession.sparkContext.applicationId, ()):
+        return _by_table_function(df, column, strategy)
     raise ValueError(f"unknown chunk strategy: {strategy}")
 
 

@@ -1,10 +1,11 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from kgspark.functions import tokens as tok
-from kgspark.text import budget, chunk
+from kgspark.text import budget, chunk, split
 
 
 def greedy(sizes, limit, header=0, most=None):
@@ -85,3 +86,93 @@ def test_tokens_are_lossless(spark):
     rows = df.select("t", tok.join(tok.tokens(F.col("t"))).alias("back"), tok.count(F.col("t")).alias("n")).collect()
     assert all(r["t"] == r["back"] for r in rows)
     assert [r["n"] for r in rows] == [4, 0, 1]
+
+
+def nested_pieces(text, room, separators):
+    """Splitting again and again, as the description reads."""
+    pieces = [text]
+    for sep in separators:
+        out = []
+        for p in pieces:
+            if len(p) <= room:
+                out.append(p)
+            else:
+                parts = p.split(sep)
+                out += [x + sep for x in parts[:-1]] + parts[-1:]
+        pieces = out
+    pieces = [q for p in pieces for q in ([p[i : i + room] for i in range(0, len(p), room)] if len(p) > room else [p])]
+    return [p for p in pieces if p]
+
+
+def nested_chunks(text, size, overlap, separators):
+    room = size - overlap
+    pieces = nested_pieces(text, room, separators)
+    at = greedy([len(p) for p in pieces], room)
+    chunks = [[p for p, b in zip(pieces, at) if b == k] for k in range(max(at, default=-1) + 1)]
+    out = []
+    for k, own in enumerate(chunks):
+        again, room_left = [], overlap
+        for p in reversed(chunks[k - 1] if k else []):
+            if len(p) > room_left:
+                break
+            again.insert(0, p)
+            room_left -= len(p)
+        out.append("".join(again + own))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_recursive_spans_match_nested_splitting(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        text = "".join(rng.choice(["\n", "\n\n", " ", "  ", "a", "éß", "word", "x" * 30, "𝄞"]) for _ in range(rng.randrange(60)))
+        size = rng.randrange(5, 40)
+        overlap = rng.randrange(0, size)
+        got = [text[a:b] for a, b in split.recursive_spans(text, size, overlap, ["\n\n", "\n", " "])]
+        assert got == nested_chunks(text, size, overlap, ["\n\n", "\n", " "])
+
+
+def test_splitters_take_time_in_proportion():
+    def spent(words, spans):
+        text = " ".join(f"word{i % 977}" for i in range(words))
+        start = time.perf_counter()
+        assert list(spans(text))
+        return time.perf_counter() - start
+
+    for spans in (lambda t: split.recursive_spans(t, 300, 60, ["\n\n", "\n", " "]), lambda t: split.window_spans(t, 300, 60, "\n")):
+        once = min(spent(200_000, spans) for _ in range(5))
+        assert min(spent(400_000, spans) for _ in range(5)) <= 2.2 * once + 0.02
+
+
+def test_chunks_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, " "), (None, "a b"), (4, "x" * 10), (4, "x" * 10)]
+    df = spark.createDataFrame(rows, "`the key` int, text string")
+    got = chunk.chunk_recursive(df, "the key", "text", 5, 1).collect()
+    assert sorted((r[0] or 0, r[1], r[2]) for r in got) == [(0, 0, "a b"), (3, 0, " "), *sorted([(4, 0, "xxxx"), (4, 1, "xxxx"), (4, 2, "xx")] * 2)]
+    got = chunk.chunk_chars(df, "the key", "text", 6, 2).collect()
+    assert sorted((r[0] or 0, *tuple(r)[1:]) for r in got) == [
+        (0, 0, "a b", 3), (3, 0, " ", 1), *sorted([(4, 0, "xxxxxx", 6), (4, 1, "xxxxxx", 6), (4, 2, "xx", 2)] * 2)]
+
+
+def test_splitters_need_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "a")], "id int, text string")
+    for made in (chunk.chunk_recursive(df, "id", "text"), chunk.chunk_chars(df, "id", "text")):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_registered_splitter_is_a_table_function(spark):
+    chunk.register_chunker(spark, "by_comma", lambda text: text.split(","))
+    chunk.register_chunker(spark, "letters_of", lambda text: ((c, 1) for c in text if c.isalpha()))
+    rows = [(1, "a,b", "k"), (2, None, "k"), (3, "", "k"), (4, "c," * 30_000, "k"), (1, "a,b", "k")]
+    df = spark.createDataFrame(rows, "id int, `the text` string, more string")
+    got = chunk.chunk(df, "the text", "by_comma")
+    assert got.columns == ["id", "more", "chunk_index", "chunk", "n_tokens"]
+    found = got.collect()
+    assert sorted(tuple(r) for r in found if r.id != 4) == [
+        (1, "k", 0, "a", None), (1, "k", 0, "a", None), (1, "k", 1, "b", None), (1, "k", 1, "b", None), (3, "k", 0, "", None)]
+    assert sum(r.id == 4 for r in found) == 30_001
+    df.createOrReplaceTempView("splitting")
+    told = spark.sql("SELECT d.id, c.chunk, c.n_tokens FROM splitting d, LATERAL letters_of(d.`the text`) c WHERE d.id = 1")
+    assert sorted(tuple(r) for r in told.collect()) == [(1, "a", 1)] * 2 + [(1, "b", 1)] * 2
+    with pytest.raises(ValueError):
+        chunk.chunk(df, "the text", "nobody_registered")
