@@ -51,11 +51,11 @@ class Encoder:
 
     def __init__(self, vocabulary: str, pattern: str):
         self.own = Tokenizer.from_str(vocabulary)
-        self.own.encode_special_tokens = True
         letters = byte_letters()
         if self.own.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit two bytes")
         special = {t["content"] for t in json.loads(vocabulary).get("added_tokens", ())}
+        self.special = tuple(special)
         ranks = {
             bytes(letters[c] for c in token): k for token, k in json.loads(vocabulary)["model"]["vocab"].items() if token not in special
         }
@@ -71,6 +71,9 @@ class Encoder:
         return np.array(ids, "<u2").tobytes()
 
     def ids(self, text: str) -> bytes:
+        # a special token in a text is one id, which only the vocabulary's own library gives
+        if any(token in text for token in self.special):
+            return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         head, *rest = text.split(" ")
         try:
             return self.first[head] + b"".join([self.inner[x] for x in rest])

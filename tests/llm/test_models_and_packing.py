@@ -95,7 +95,6 @@ def test_pack_places_every_id_once_without_padding(lengths):
 
 def own_ids(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
 
 
@@ -131,7 +130,10 @@ def test_packed_documents_keep_the_tokenizer_ids(spark):
         (13, "word " * 3000),
         (14, "x" * 20_000),
         (15, "a\n\nb \x1c c"),
+        (16, "<|endoftext|>"),
+        (17, "one<|endoftext|>two <|endoftext|>  three <|endoftext|"),
     ]
+    assert 50256 in own_ids(["<|endoftext|>"])[0]
     got = packing.pack_documents(frame(spark, docs), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, pieces_per_task=4)
     check_packed(got.collect(), docs)
     assert packing.pack_documents(frame(spark, []), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
