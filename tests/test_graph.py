@@ -1,10 +1,12 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgspark.graph import communities, components, degree, merge
 from kgspark.graph.hierarchy import community_hierarchy
 from kgspark.model import records
+from kgspark.session import cut
 
 
 def edges_of(spark, pairs):
@@ -20,6 +22,65 @@ def test_components(spark):
     assert components.largest_component(edges_of(spark, chain + other)).count() == 61
 
 
+def brute_components(pairs, nodes=()):
+    low = {n: n for n in [*nodes, *(x for p in pairs for x in p)]}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    return low
+
+
+def shapes(seed):
+    rnd = random.Random(seed)
+    star = [("hub", f"leaf{i:03d}") for i in range(80)]
+    chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(120)]
+    wild = [(f"w{rnd.randrange(150)}", f"w{rnd.randrange(150)}") for _ in range(110)]
+    return star + chain + wild + [("é", "e"), ("loop", "loop")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_match_brute_force(spark, seed):
+    pairs = shapes(seed)
+    nodes = spark.createDataFrame([("alone",), ("hub",)], "title string")
+    got = components.connected_components(edges_of(spark, pairs), nodes).collect()
+    assert {r.title: r.component for r in got} == brute_components(pairs, ["alone"])
+    assert len(got) == len({r.title for r in got})
+
+
+def test_components_of_numbers_and_odd_edges(spark):
+    pairs = [(5, 3), (3, 5), (9, 9), (2**40, 3)]
+    df = spark.createDataFrame([*pairs, (None, 4), (None, None)], "source long, target long")
+    got = {r.title: r.component for r in components.connected_components(df).collect()}
+    assert got == {5: 3, 3: 3, 2**40: 3, 9: 9, 4: 4, None: None}
+    assert components.connected_components(df.limit(0)).collect() == []
+    text = spark.createDataFrame([("a", None), ("b", "a")], "source string, target string")
+    assert {tuple(r) for r in components.connected_components(text).collect()} == {("a", "a"), ("b", "a"), (None, None)}
+
+
+def test_contraction_takes_a_share_of_the_edges_each_round(spark):
+    """On a path in the order of its ids, the slowest case for a smallest neighbour."""
+    left = spark.range(3000).selectExpr("id AS a", "id + 1 AS b")
+    sizes = [3000]
+    while sizes[-1] > 30:
+        _, left = components.contract(left, len(sizes))
+        sizes.append(left.count())
+    assert all(b <= 0.62 * a for a, b in zip(sizes, sizes[1:]) if a > 200)
+    assert len(sizes) < 12
+
+
+def test_no_text_moves_in_the_rounds(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(components, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    components.connected_components(edges_of(spark, shapes(3)))
+    assert len(plans) > 3
+    # ids and their dictionary are made before; the rounds hold none of the titles
+    assert not any("title" in line for p in plans[1:] for line in p.splitlines() if "Exchange" in line)
+
+
 def test_degree_counts_self_loops_twice(spark):
     got = {r["title"]: r["degree"] for r in degree.node_degree(edges_of(spark, [("a", "b"), ("c", "c")])).collect()}
     assert got == {"a": 1, "b": 1, "c": 2}
