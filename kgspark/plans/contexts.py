@@ -78,6 +78,14 @@ def trade_items(t):
     return cut(local.context_items(nodes, edges, lines)), lines
 
 
+def budget_items(t, max_tokens=config.REPORT_CONTEXT_TOKENS):
+    """(items within a budget, lines, sizes of the whole contexts) of the trade graph."""
+    nodes, edges = trade_context(t)
+    lines = cut(local.context_lines(nodes, edges))
+    items = cut(local.context_items(nodes, edges, lines, max_tokens=max_tokens))
+    return items, lines, cut(local.full_sizes(nodes, edges, lines, max_tokens=max_tokens))
+
+
 @query(
     "local_context",
     f"""{CTX}, rd AS ({render_sql('tr', 'level, community')})
@@ -85,7 +93,8 @@ SELECT level, community, context_size, context_size > {config.REPORT_CONTEXT_TOK
 FROM sz LEFT JOIN rd USING (level, community)""",
 )
 def local_context(t):
-    out = local.local_context(*trade_items(t))
+    items, lines, sizes = budget_items(t)
+    out = local.local_context(items, lines, sizes=sizes)
     return out.select("level", "community", "context_size", "context_exceed_limit", F.md5("context_string").alias("context_md5"))
 
 
@@ -96,7 +105,8 @@ def context_lines(t):
 
 @query("context_string", f"{CTX}, rd AS ({render_sql('tr', 'level, community')}) SELECT level, community, context_string FROM rd JOIN sz USING (level, community) WHERE context_size <= {config.REPORT_CONTEXT_TOKENS}")
 def context_string(t):
-    out = local.local_context(*trade_items(t))
+    items, lines, sizes = budget_items(t)
+    out = local.local_context(items, lines, sizes=sizes)
     return out.filter("NOT context_exceed_limit").select("level", "community", "context_string")
 
 
@@ -113,46 +123,49 @@ def context_size(t):
     return local.context_sizes(trade_items(t)[0])
 
 
-def _stand_in_reports(t):
-    """Reports of nation/segment communities except those of suppliers."""
-    m = trade_membership(t).filter("level = 2").groupBy("level", "community").agg(F.count(F.lit(1)).alias("n"))
+def _stand_in_reports(t, *levels):
+    """Reports of the communities of some levels except those of suppliers."""
+    m = trade_membership(t).filter(F.col("level").isin(*levels)).groupBy("level", "community").agg(F.count(F.lit(1)).alias("n"))
     return m.filter(~F.col("community").endswith("SUPPLIER")).select(
         "level", "community", F.concat(F.lit("report with "), F.col("n").cast("string"), F.lit(" members")).alias("full_content")
     )
 
 
-_SUBS = f"""
-rp AS (SELECT level, community, 'report with ' || count(*) || ' members' AS full_content FROM m WHERE level = 2 AND community NOT LIKE '%SUPPLIER' GROUP BY 1, 2),
-hi AS (SELECT DISTINCT p.community, c.community AS sub_community FROM m p JOIN m c ON c.title = p.title AND p.level = 1 AND c.level = 2),
-sb AS (SELECT hi.community, hi.sub_community, context_size AS local_size, len({_N.format("hi.sub_community || ',' || full_content")})::BIGINT AS report_size, full_content
-  FROM hi JOIN sz ON sz.level = 2 AND sz.community = hi.sub_community LEFT JOIN rp ON rp.community = hi.sub_community)
+def _subs_sql(level: int, budget: int, mark: str = "") -> str:
+    """Sub-communities of one level, and what is taken of each within a budget."""
+    head = local.HEAD_TOKENS + local.REPORT_HEAD_TOKENS
+    return f"""
+rp{mark} AS (SELECT level, community, 'report with ' || count(*) || ' members' AS full_content FROM m WHERE level = {level + 1} AND community NOT LIKE '%SUPPLIER' GROUP BY 1, 2),
+hi{mark} AS (SELECT DISTINCT p.community, c.community AS sub_community FROM m p JOIN m c ON c.title = p.title AND p.level = {level} AND c.level = {level + 1}),
+sb{mark} AS (SELECT h.community, h.sub_community, context_size AS local_size, len({_N.format("h.sub_community || ',' || full_content")})::BIGINT AS report_size, full_content
+  FROM hi{mark} h JOIN sz ON sz.level = {level + 1} AND sz.community = h.sub_community LEFT JOIN rp{mark} r ON r.community = h.sub_community),
+o{mark} AS (SELECT *, row_number() OVER w AS k, sum(coalesce(report_size, 0)) OVER w AS rs,
+    sum(CASE WHEN report_size IS NULL THEN 0 ELSE local_size END) OVER (PARTITION BY community) AS lt,
+    sum(CASE WHEN report_size IS NULL THEN 0 ELSE local_size END) OVER w AS ls,
+    sum(CASE WHEN report_size IS NULL THEN local_size ELSE 0 END) OVER (PARTITION BY community) AS ta
+  FROM sb{mark} WINDOW w AS (PARTITION BY community ORDER BY local_size DESC, sub_community ROWS UNBOUNDED PRECEDING)),
+c{mark} AS (SELECT community, min(k) FILTER (report_size IS NOT NULL AND rs + lt - ls + ta + {head} <= {budget}) AS ck FROM o{mark} GROUP BY 1),
+ch{mark} AS (SELECT o.*, CASE WHEN ck IS NOT NULL THEN CASE WHEN report_size IS NOT NULL AND k <= ck THEN 'report' ELSE 'local' END
+  WHEN report_size IS NOT NULL AND rs + {local.REPORT_HEAD_TOKENS + 1} <= {budget} THEN 'report' ELSE 'drop' END AS how FROM o{mark} o JOIN c{mark} USING (community)),
+ml{mark} AS (SELECT community, k AS use, 'report' AS kind, sub_community || ',' || full_content AS line FROM ch{mark} WHERE how = 'report'
+  UNION ALL SELECT h.community, ti.use, kind, line FROM ch{mark} h JOIN ti ON ti.level = {level + 1} AND ti.community = h.sub_community WHERE how = 'local')
 """
 
 
-@query("sub_contexts", f"{CTX}, {_SUBS} SELECT community, sub_community, local_size, report_size, full_content FROM sb")
+_MIX = _subs_sql(1, 6000)
+
+
+@query("sub_contexts", f"{CTX}, {_MIX} SELECT community, sub_community, local_size, report_size, full_content FROM sb")
 def sub_contexts(t):
     return _subs(t, local.context_sizes(trade_items(t)[0])).drop("report_line")
 
 
 def _subs(t, sizes):
     hierarchy = community_hierarchy(trade_membership(t))
-    return mixed.sub_contexts(hierarchy, sizes, _stand_in_reports(t), 1)
+    return mixed.sub_contexts(hierarchy, sizes, _stand_in_reports(t, 2), 1)
 
 
-_HEAD = local.HEAD_TOKENS + local.REPORT_HEAD_TOKENS
-_MIX = f"""
-o AS (SELECT *, row_number() OVER w AS k, sum(coalesce(report_size, 0)) OVER w AS rs,
-    sum(CASE WHEN report_size IS NULL THEN 0 ELSE local_size END) OVER (PARTITION BY community) AS lt,
-    sum(CASE WHEN report_size IS NULL THEN 0 ELSE local_size END) OVER w AS ls,
-    sum(CASE WHEN report_size IS NULL THEN local_size ELSE 0 END) OVER (PARTITION BY community) AS ta
-  FROM sb WINDOW w AS (PARTITION BY community ORDER BY local_size DESC, sub_community ROWS UNBOUNDED PRECEDING)),
-c AS (SELECT community, min(k) FILTER (report_size IS NOT NULL AND rs + lt - ls + ta + {_HEAD} <= 6000) AS ck FROM o GROUP BY 1),
-ch AS (SELECT o.*, CASE WHEN ck IS NOT NULL THEN CASE WHEN report_size IS NOT NULL AND k <= ck THEN 'report' ELSE 'local' END
-  WHEN report_size IS NOT NULL AND rs + {local.REPORT_HEAD_TOKENS + 1} <= 6000 THEN 'report' ELSE 'drop' END AS how FROM o JOIN c USING (community))
-"""
-
-
-@query("mixed_choice", f"{CTX}, {_SUBS}, {_MIX} SELECT community, sub_community, k, how FROM ch")
+@query("mixed_choice", f"{CTX}, {_MIX} SELECT community, sub_community, k, how FROM ch")
 def mixed_choice(t):
     subs = _subs(t, local.context_sizes(trade_items(t)[0]))
     return mixed.mixed_choice(subs, 6000).select("community", "sub_community", "k", F.col("use").alias("how"))
@@ -160,28 +173,37 @@ def mixed_choice(t):
 
 @query(
     "mixed_context",
-    f"""{CTX}, {_SUBS}, {_MIX},
-ml AS (SELECT community, k AS use, 'report' AS kind, sub_community || ',' || full_content AS line FROM ch WHERE how = 'report'
-  UNION ALL SELECT ch.community, ti.use, kind, line FROM ch JOIN ti ON ti.level = 2 AND ti.community = ch.sub_community WHERE how = 'local'),
-rd AS ({render_sql('ml', 'community')})
-SELECT community, md5(context_string) AS context_md5 FROM rd""",
+    f"{CTX}, {_MIX}, rd AS ({render_sql('ml', 'community')}) SELECT community, md5(context_string) AS context_md5 FROM rd",
 )
 def mixed_context(t):
-    items, lines = trade_items(t)
-    subs = _subs(t, local.context_sizes(items))
+    items, lines, sizes = budget_items(t, 6000)
+    subs = _subs(t, sizes)
     return mixed.mixed_context(subs, items, lines, 1, 6000).select("community", F.md5("context_string").alias("context_md5"))
 
 
+# small enough that the upper levels are mixed
+LEVEL_TOKENS = 6000
+
+
 @query(
     "level_contexts",
-    f"""{CTX}, rd AS ({render_sql('(SELECT * FROM tr WHERE level = 2)', 'community')})
-SELECT community, md5(coalesce(context_string, '')) AS context_md5 FROM sz LEFT JOIN rd USING (community) WHERE level = 2""",
+    f"""{CTX.replace(str(config.REPORT_CONTEXT_TOKENS), str(LEVEL_TOKENS))}, {_subs_sql(0, LEVEL_TOKENS, '0')}, {_subs_sql(1, LEVEL_TOKENS, '1')},
+rd AS ({render_sql('tr', 'level, community')}), rd0 AS ({render_sql('ml0', 'community')}), rd1 AS ({render_sql('ml1', 'community')}),
+mx AS (SELECT 0 AS level, * FROM rd0 UNION ALL SELECT 1, * FROM rd1)
+SELECT level, community, md5(coalesce(CASE WHEN context_size > {LEVEL_TOKENS} THEN mx.context_string END, rd.context_string, '')) AS context_md5,
+  context_size > {LEVEL_TOKENS} AND mx.context_string IS NOT NULL AS mixed
+FROM sz LEFT JOIN rd USING (level, community) LEFT JOIN mx USING (level, community)""",
 )
 def level_contexts(t):
-    items, lines = trade_items(t)
-    sizes = local.context_sizes(items)
-    out = mixed.level_contexts(items, lines, sizes, community_hierarchy(trade_membership(t)), _stand_in_reports(t), 2)
-    return out.select("community", F.md5("context_string").alias("context_md5"))
+    """All levels, each with the reports of the levels below."""
+    items, lines, sizes = budget_items(t, LEVEL_TOKENS)
+    hierarchy, reported = cut(community_hierarchy(trade_membership(t))), cut(_stand_in_reports(t, 1, 2))
+    out = None
+    for level in (2, 1, 0):
+        at = mixed.level_contexts(items, lines, sizes, hierarchy, reported, level, LEVEL_TOKENS)
+        part = at.select(F.lit(level).alias("level"), "community", F.md5("context_string").alias("context_md5"), "mixed")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _report_answers(t):
