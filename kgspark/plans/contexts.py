@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import collections
+import hashlib
+
 from pyspark.sql import functions as F
 
 from kgspark import config, schema
@@ -13,9 +16,9 @@ from kgspark.operators import ordered
 from kgspark.plans.graphs import TRADE, described_edges, trade_membership, trade_node_units, trade_nodes
 from kgspark.plans.registry import query
 from kgspark.plans.texts import _TOKENS_SQL, walk_sql
-from kgspark.session import cut, spread
+from kgspark.session import cut, scratch_path, spread
 from kgspark.text import chunk
-from kgspark.vector import embed, topk
+from kgspark.vector import embed, ivf, topk
 
 # ---------------------------------------------------------------- community contexts
 
@@ -56,17 +59,14 @@ def render_sql(source: str, keys: str) -> str:
 def trade_context(t):
     """(nodes per level, edges with rank) of the trade graph, as contexts want them."""
     edges = cut(described_edges(t))
-    degrees = degree.node_degree(edges)
-    human = ordered.row_numbers(trade_nodes(t).select("title"), "__h", [], ["title"])
-    nodes = (
-        trade_nodes(t)
-        .select("title", "description")
-        .join(trade_membership(t), "title")
-        .join(degrees, "title", "left")
-        .join(human, "title")
-        .select("level", "community", "title", (F.col("__h") - 1).alias("human_readable_id"), "description", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+    degrees = cut(degree.node_degree(edges))
+    titles = cut(trade_nodes(t).select("title", "description"))
+    human = ordered.row_numbers(titles.select("title"), "__h", [], ["title"])
+    about = titles.join(degrees, "title", "left").join(human, "title")
+    nodes = about.join(trade_membership(t), "title").select(
+        "level", "community", "title", (F.col("__h") - 1).alias("human_readable_id"), "description", F.coalesce("degree", F.lit(0).cast("long")).alias("degree")
     )
-    ranked = degree.edge_combined_degree(edges, degrees)
+    ranked = cut(degree.edge_combined_degree(edges, degrees))
     numbered = ordered.row_numbers(ranked, "__h", [], ["source", "target"]).withColumn("human_readable_id", F.col("__h") - 1)
     return cut(nodes), cut(numbered.select("human_readable_id", "source", "target", "description", "rank"))
 
@@ -505,66 +505,116 @@ def vector_table(t):
     return out.select("id", "text", F.size("vector").alias("size"), F.col("attributes")["label"].alias("label"))
 
 
-_CENTRES = """
-c AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2) GROUP BY 1)
-"""
+# Searches ask with every row whose id is divisible by 50, against all rows.
+_ASKED = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0)"
 
 
-def _centres(t):
-    return embed.average_vectors(t.embeddings, ["label"], "embedding", "vector").withColumnRenamed("label", "query_id")
+def _asked(t):
+    return t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _vectors(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-def _topk_sql(source: str) -> str:
-    return f"""WITH {_CENTRES},
-s AS (SELECT c.label AS query_id, vec_id AS id, list_cosine_similarity(v, embedding::DOUBLE[]) AS score FROM c, {source})
+def _topk_sql(asked: str, source: str, vector: str) -> str:
+    return f"""WITH {asked},
+s AS (SELECT query_id, {source}.id AS id, round(list_cosine_similarity(q.v, {vector}), {topk.DIGITS}) AS score FROM q, {source})
 SELECT query_id, id, round(score, 6) AS score, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS position FROM s) WHERE position <= 10"""
 
 
-@query("vector_topk", _topk_sql("embeddings"))
+_ALL = "(SELECT vec_id AS id, embedding::DOUBLE[] AS w FROM embeddings)"
+
+
+@query("vector_topk", _topk_sql(f"{_ASKED}, e AS {_ALL}", "e", "e.w"))
 def vector_topk(t):
-    return topk.similarity_topk(_vectors(t), _centres(t), 10).withColumn("score", F.round("score", 6))
+    return topk.similarity_topk(_vectors(t), _asked(t), 10).withColumn("score", F.round("score", 6))
 
 
-@query("vector_topk_filtered", _topk_sql("(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1))"))
+@query("vector_topk_filtered", _topk_sql(f"{_ASKED}, e AS (SELECT * FROM {_ALL} WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1))", "e", "e.w"))
 def vector_topk_filtered(t):
     wanted = t.labels.filter("quality = 1").select(F.col("doc_id").alias("id"))
-    return topk.similarity_topk(topk.filter_by_id(_vectors(t), wanted), _centres(t), 10).withColumn("score", F.round("score", 6))
+    return topk.similarity_topk(topk.filter_by_id(_vectors(t), wanted), _asked(t), 10).withColumn("score", F.round("score", 6))
 
 
-@query("vector_lsh_recall", "SELECT true AS enough, count(*) AS queries FROM (SELECT DISTINCT label FROM embeddings)")
-def vector_lsh_recall(t):
-    """Whether the approximate search finds nine tenths of the exact neighbours, over all queries."""
-    exact = topk.similarity_topk(_vectors(t), _centres(t), 10).select("query_id", "id")
-    near = topk.similarity_topk_lsh(_vectors(t), _centres(t), 10, radius=1.4, width=1.0).select("query_id", "id", F.lit(1).alias("hit"))
-    both = exact.join(near, ["query_id", "id"], "left")
+_RECALL_SQL = "SELECT true AS enough, count(*) AS queries FROM embeddings WHERE vec_id % 50 = 0"
+
+
+def _recall(t, near):
+    """Whether ``near`` holds nine tenths of the exact neighbours, over all queries."""
+    exact = topk.similarity_topk(_vectors(t), _asked(t), 10).select("query_id", "id")
+    both = exact.join(near.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     return both.agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"), F.count_distinct("query_id").alias("queries"))
 
 
+def _lsh(t):
+    return topk.similarity_topk_lsh(_vectors(t), _asked(t), 10, radius=1.4, width=1.0)
+
+
+@query("vector_lsh_recall", _RECALL_SQL)
+def vector_lsh_recall(t):
+    return _recall(t, _lsh(t))
+
+
 @query("vector_topk_lsh")
 def vector_topk_lsh(t):
-    return topk.similarity_topk_lsh(_vectors(t), _centres(t), 10, radius=1.4, width=1.0)
+    return _lsh(t)
+
+
+def _ivf(t):
+    spark = t.embeddings.sparkSession
+    index = ivf.build(_vectors(t), scratch_path(spark, "vector-index"))
+    return ivf.search(index, _vectors(t), _asked(t), 10, ivf.probes_for(index, _vectors(t), 10))
+
+
+@query("vector_ivf_topk")
+def vector_ivf_topk(t):
+    """An index of all vectors, with as many lists asked as a sample needs."""
+    return _ivf(t)
+
+
+@query("vector_ivf_recall", _RECALL_SQL)
+def vector_ivf_recall(t):
+    return _recall(t, _ivf(t))
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """A stand-in embedder: how many words of a text have each first letter of their md5."""
+    out = []
+    for text in texts:
+        counts = collections.Counter(hashlib.md5(w.encode()).hexdigest()[0] for w in text.split(" ") if w)
+        out.append([float(counts[d]) for d in "0123456789abcdef"])
+    return out
+
+
+def _letters_sql(table: str, key: str, name: str) -> str:
+    # an embedder gets each text as tokens, joined again
+    words = "list_filter(string_split(text, ' '), lambda w: w <> '')"
+    counts = ", ".join(f"len(list_filter(m, lambda x: x = '{d}'))::DOUBLE" for d in "0123456789abcdef")
+    return f"""{name} AS (SELECT {key} AS id, [{counts}] AS w FROM (SELECT {key}, list_transform({words}, lambda w: substr(md5(w), 1, 1)) AS m FROM {table}
+  WHERE len({_N.format('text')}) > 0))"""
+
+
+WHOLE_TEXT = 1 << 30
 
 
-@query("text_topk")
+@query("text_topk", _topk_sql(f"{_letters_sql('documents', 'doc_id', 'd')}, {_letters_sql('benchmark', 'item_id', 'b')}, q AS (SELECT id AS query_id, w AS v FROM b)", "d", "d.w"))
 def text_topk(t):
-    vectors = embed.text_embed(spread(t.documents.select(F.col("doc_id").alias("id"), "text")), "id", "text", offline.embed, "vector")
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    queries = embed.text_embed(asked, "query_id", "text", offline.embed, "vector")
-    return topk.similarity_topk(vectors.filter("vector IS NOT NULL"), queries.filter("vector IS NOT NULL"), 10)
+    """Texts by text: every benchmark item against all documents, each text in one snippet."""
+    parts = lambda df, key: embed.text_embed(spread(df), key, "text", letter_counts, "vector", max_tokens=WHOLE_TEXT).filter("vector IS NOT NULL")
+    vectors = parts(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
+    asked = parts(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), "query_id")
+    return topk.similarity_topk(vectors, asked, 10).withColumn("score", F.round("score", 6))
 
 
 @query(
     "rag_context",
-    f"""WITH {_CENTRES}, s AS (SELECT c.label AS query_id, vec_id AS id, list_cosine_similarity(v, embedding::DOUBLE[]) AS score FROM c, embeddings),
+    f"""WITH {_ASKED}, s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(v, embedding::DOUBLE[]), {topk.DIGITS}) AS score FROM q, embeddings),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM s)
 SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY position) AS context FROM h JOIN documents ON doc_id = id WHERE position <= 10 GROUP BY 1""",
 )
 def rag_context(t):
-    hits = topk.similarity_topk(_vectors(t), _centres(t), 10)
+    hits = topk.similarity_topk(_vectors(t), _asked(t), 10)
     return topk.context_for(hits, t.documents, "doc_id", "text")
 
 

@@ -16,6 +16,14 @@ from kgspark.operators import order
 from kgspark.session import cut
 
 QUERY_BLOCK = 2_000
+# Scores are compared to so many digits, so that equal vectors tie however they were multiplied.
+DIGITS = 12
+
+
+def units(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; rows of zeros stay."""
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length == 0, 1.0, length)
 
 
 def similarity_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, to: str = "score") -> DataFrame:
@@ -42,8 +50,7 @@ def _block_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows = queries.collect()  # about QUERY_BLOCK rows
     ids = [r["query_id"] for r in rows]
     matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(rows) else 1.0
-    shared = vectors.sparkSession.sparkContext.broadcast(matrix / np.where(norms == 0, 1.0, norms))
+    shared = vectors.sparkSession.sparkContext.broadcast(units(matrix) if len(rows) else matrix)
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -59,9 +66,7 @@ def _block_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         for frame in frames:
             if frame.empty or not len(q):
                 continue
-            v = np.stack(frame["vector"].to_numpy()).astype(np.float64)
-            length = np.linalg.norm(v, axis=1, keepdims=True)
-            scores = q @ (v / np.where(length == 0, 1.0, length)).T
+            scores = np.round(q @ units(np.stack(frame["vector"].to_numpy()).astype(np.float64)).T, DIGITS)
             if scores.shape[1] > k:
                 bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
                 qi, vi = np.nonzero(scores >= bar)

@@ -8,7 +8,7 @@ from kgspark.functions import tokens as tok
 from kgspark.model import apply, offline
 from kgspark.model.summarize import summarize_lines
 from kgspark.quality import agreement
-from kgspark.vector import embed, topk
+from kgspark.vector import embed, ivf, topk
 
 
 def small_graph(spark):
@@ -152,3 +152,44 @@ def test_constant_scores_have_no_correlation(spark):
     available = spark.createDataFrame([("s", "f"), ("s", "g")], "feature_set string, feature string")
     r = agreement.agreement_corr(scores, selected, available, ["p", "r"]).first()
     assert r["corr_p"] is None and r["corr_r"] == pytest.approx(-1.0)
+
+
+def _cosines(q, v):
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.round(unit(q) @ unit(v).T, topk.DIGITS)
+
+
+def test_index_finds_what_is_in_its_lists(spark, tmp_path, monkeypatch):
+    """With all lists probed the answer is exact, also when a list is shared by many tasks."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 6))
+    v[200:330] = v[7]  # copies of one vector: a list that holds a third of all
+    q = np.concatenate([rng.normal(size=(9, 6)), v[7:8]])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [0.0] * 6)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>").withColumn("list", F.lit("clash"))
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)] + [(99, None)], "query_id long, vector array<double>")
+    monkeypatch.setattr(ivf, "BLOCK_VECTORS", 40)
+    monkeypatch.setattr(ivf, "BLOCK_QUERIES", 2)
+    index = ivf.build(vectors, str(tmp_path / "index"), lists=8)
+    assert sum(index.sizes.values()) == 400 and max(index.sizes.values()) >= 131
+    got = ivf.search(index, vectors, queries, 5, probes=8).collect()
+    scores = _cosines(q, v)
+    want = {(i, p + 1): (j, scores[i, j]) for i in range(10) for p, j in enumerate(sorted(range(400), key=lambda j: (-scores[i, j], j))[:5])}
+    assert {(r.query_id, r.position): r.id for r in got} == {key: j for key, (j, _) in want.items()}
+    assert all(abs(r.score - want[r.query_id, r.position][1]) < 1e-9 for r in got)
+
+
+def test_index_reads_probed_lists_only(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "id long, vector array<float>")
+    index = ivf.build(vectors, str(tmp_path / "index"), lists=12)
+    got = ivf.search(index, vectors, vectors.filter("id = 5").withColumnRenamed("id", "query_id"), 3, probes=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list" in plan
+    assert got.first().id == 5
+
+
+def test_index_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([(1, None)], "id long, vector array<float>")
+    index = ivf.build(none, str(tmp_path / "index"))
+    assert ivf.search(index, none, none.withColumnRenamed("id", "query_id")).collect() == []
