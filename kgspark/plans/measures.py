@@ -54,6 +54,25 @@ def ks_pvalue(t):
     return t.events.select("event_id", F.round(p, 8).alias("p_value"))
 
 
+@query(
+    "ks_pvalue_exact",
+    """
+WITH RECURSIVE asked AS (SELECT DISTINCT 3 + event_id % 7 AS n1, 4 + event_id % 9 AS n2, 1 + user_id % ((3 + event_id % 7) * (4 + event_id % 9)) AS reach FROM events),
+walk AS (
+  SELECT n1, n2, reach, 0 AS i, list_transform(range(0, n2 + 1), lambda j: (j * n1 < reach)::INT::DOUBLE) AS u FROM asked
+  UNION ALL SELECT n1, n2, reach, i + 1, list_transform(range(0, n2 + 1), lambda j: CASE WHEN abs((i + 1) * n2 - j * n1) < reach THEN
+    list_sum(list_transform(range(0, j + 1), lambda x: CASE WHEN abs((i + 1) * n2 - x * n1) < reach THEN u[x + 1] ELSE 0 END)) ELSE 0 END)
+  FROM walk WHERE i < n1),
+p AS (SELECT n1, n2, reach, 1 - u[n2 + 1] * factorial(n1::INT)::DOUBLE * factorial(n2::INT)::DOUBLE / factorial((n1 + n2)::INT)::DOUBLE AS p FROM walk WHERE i = n1)
+SELECT event_id, round(p, 9) + 0 AS p_value FROM events JOIN p ON n1 = 3 + event_id % 7 AND n2 = 4 + event_id % 9 AND reach = 1 + user_id % (n1 * n2)
+""",
+)
+def ks_pvalue_exact(t):
+    n1, n2 = 3 + F.col("event_id") % 7, 4 + F.col("event_id") % 9
+    p = distribution.ks_pvalue_exact((1 + F.col("user_id") % (n1 * n2)) / (n1 * n2), n1, n2)
+    return t.events.select("event_id", (F.round(p, 9) + 0).alias("p_value"))
+
+
 _JS = f"""WITH {_PAIRS}, s AS (SELECT x / sum(x) OVER () AS p, y / sum(y) OVER () AS q FROM pairs)
 SELECT round(sqrt(sum(p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2), 8) AS js FROM s"""
 

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.operators import ordered
 
+# Samples whose orders are counted one by one; the work grows with the product of both sizes.
+EXACT_SAMPLE = 10_000
+
 
 def paired(truth: DataFrame, generated: DataFrame, key: str, truth_col: str, generated_col: str) -> DataFrame:
     """x (truth) and y (generated) by key."""
@@ -55,6 +60,47 @@ def ks_pvalue(ks: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * series)))
 
 
+def _inside_share(reach: int, n1: int, n2: int) -> float:
+    """Share of the orders of two samples whose running shares never differ by ``reach / (n1 * n2)`` or more.
+
+    An order is a path over a grid of n1 by n2 steps. In each row the places within reach are next to
+    each other, and the paths to a place are those to the places before it in the row above or this
+    one: a running sum. Rows are scaled as they come, so that the last value is the share itself.
+    """
+    columns = np.arange(n2 + 1)
+    paths = (columns * n1 < reach).astype(float)
+    for row in range(1, n1 + 1):
+        within = np.abs(row * n2 - columns * n1) < reach
+        paths = np.where(within, np.cumsum(np.where(within, paths, 0.0) * (row / (row + n2))), 0.0)
+    return float(paths[-1])
+
+
+def _exact(ks: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    known: dict[tuple, float | None] = {}
+
+    def one(d: float, a: float, b: float) -> float | None:
+        if not (a >= 1 and b >= 1) or d != d:
+            return None
+        key = (round(d * a * b), *sorted((int(a), int(b))))
+        if key not in known:
+            known[key] = min(1.0, max(0.0, 1.0 - _inside_share(*key)))
+        return known[key]
+
+    return pd.Series([one(d, a, b) for d, a, b in zip(ks, n1, n2)], dtype=float)
+
+
+def ks_pvalue_exact(ks: Column, n1: Column, n2: Column, upto: int = EXACT_SAMPLE) -> Column:
+    """Exact p-value of the two-sided test for samples of up to ``upto`` values, the asymptotic one beyond.
+
+    The chance, over all orders of two samples without ties, that their running shares differ by
+    ``ks`` or more somewhere. Null without a value in either sample.
+    """
+    small = F.greatest(n1, n2) <= upto
+    size = lambda n: F.when(small, n).cast("double")
+    exact = F.pandas_udf(_exact, "double")
+    return F.when(small, exact(ks.cast("double"), size(n1), size(n2))).otherwise(ks_pvalue(ks, n1, n2))
+
+
 def js_distance(pairs: DataFrame) -> DataFrame:
     """Jensen–Shannon distance (base 2) of the two value vectors, scaled to sum 1; null if one sums to 0."""
     total = pairs.agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
@@ -71,10 +117,11 @@ def js_distance(pairs: DataFrame) -> DataFrame:
     return scaled.agg(F.when(summed.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), summed))).alias("js"))
 
 
-def metric_rows(pairs: DataFrame, feature: str, **limits) -> DataFrame:
-    """feature, metric, value: all measures of one feature."""
+def metric_rows(pairs: DataFrame, feature: str, exact_upto: int = 0, **limits) -> DataFrame:
+    """feature, metric, value: all measures of one feature; p-values are exact for samples of up to ``exact_upto``."""
     one = rmse(pairs).join(F.broadcast(ks_statistic(pairs, **limits))).join(F.broadcast(js_distance(pairs)))  # one row each
-    wide = one.select("rmse", "ks", ks_pvalue(F.col("ks"), F.col("n1"), F.col("n2")).alias("p_value"), "js")
+    sizes = F.col("ks"), F.col("n1"), F.col("n2")
+    wide = one.select("rmse", "ks", (ks_pvalue_exact(*sizes, exact_upto) if exact_upto else ks_pvalue(*sizes)).alias("p_value"), "js")
     return wide.select(F.lit(feature).alias("feature"), "*").unpivot(
         ["feature"], ["rmse", "ks", "p_value", "js"], "metric", "value"
     )
