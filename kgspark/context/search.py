@@ -85,7 +85,10 @@ def report_batches(
     line = F.concat_ws(delimiter, *[F.coalesce(f.cast("string"), F.lit("")) for f in fields])
     lined = reports.select(*keys, "shuffle_key", "weight", "rank", F.col("id").cast("string").alias("id"), line.alias("__line"))
     lined = lined.withColumn("__n", (tok.count(F.concat("__line", F.lit("\n")))).cast("long"))
-    packed = budget.pack(lined, keys, ["shuffle_key", "id"], "__n", max_tokens, "batch", head_tokens, **limits)
+    # ids and sizes alone are packed; the lines join them afterwards
+    lined = cut(lined.withColumn("__row", F.monotonically_increasing_id()))
+    placed = budget.pack(lined.select(*keys, "shuffle_key", "id", "__row", "__n"), keys, ["shuffle_key", "id"], "__n", max_tokens, "batch", head_tokens, **limits)
+    packed = lined.join(placed.select("__row", "batch"), "__row")
     rows = F.sort_array(
         F.collect_list(F.struct((-F.col("weight")).alias("w"), (-F.col("rank")).alias("r"), F.col("id"), F.col("__line").alias("line")))
     )

@@ -1,6 +1,8 @@
+import functools
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,37 @@ def test_pack_matches_greedy(spark, limit, header, most, block_rows):
         assert [by[(g, x[1])] for x in mine] == greedy([x[2] for x in mine], limit, header, most)
 
 
+@pytest.mark.parametrize("limit,header,most", [(10, 0, None), (10, 3, None), (10, 0, 3), (25, 5, 4), (9, 0, 1), (1000, 0, None)])
+def test_blocks_answers_associate(limit, header, most):
+    """Put together two by two, three by three or one after the other, the blocks do the same."""
+    rnd = random.Random(limit + (most or 0))
+    room = limit - header
+    for _ in range(40):
+        sizes = [[rnd.choice([0, 0, 1, 2, 5, 12]) for _ in range(rnd.randrange(1, 7))] for _ in range(5)]
+        tables = [budget._exits(np.array(x), room, most) for x in sizes]
+        join = lambda a, b: budget._after(a, b, room, most)
+        left = functools.reduce(join, tables)
+        right = functools.reduce(lambda a, b: join(b, a), reversed(tables))
+        mixed = join(join(tables[0], tables[1]), join(tables[2], join(tables[3], tables[4])))
+        assert left.equals(right) and left.equals(mixed)
+        whole = budget._exits(np.array(sum(sizes, [])), room, most)
+        shared = whole.merge(left, on="at")
+        assert (shared["opened_x"] == shared["opened_y"]).all() and (shared["fill_x"] == shared["fill_y"]).all()
+        assert budget._through(left, (0, 0, 0), room, most) == budget._through(whole, (0, 0, 0), room, most)
+        assert len(left) <= (most or sum(map(len, sizes))) + 2
+
+
+def test_no_task_gets_all_blocks(spark, monkeypatch):
+    """Sixty blocks, put together three at a time."""
+    monkeypatch.setattr(budget, "FAN", 3)
+    sizes = [(i * 7) % 5 for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "i int, n long").repartition(3)
+    got = budget.pack(df, [], ["i"], "n", 9, "b", block_rows=5)
+    assert [r["b"] for r in got.orderBy("i").collect()] == greedy(sizes, 9)
+    plans = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plans
+
+
 def test_pack_without_keys(spark):
     data = [(i, (i * 7) % 5) for i in range(50)]
     df = spark.createDataFrame(data, "i int, n long").repartition(3)
