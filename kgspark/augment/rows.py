@@ -56,8 +56,8 @@ def has_placeholder(m: Column) -> Column:
 def read_answer(df: DataFrame, output: str = "output", to: str = "values") -> DataFrame:
     """Adds the key → value map of the first balanced object, or of the last one
     when the first only repeats the types; null when neither is of use."""
-    first = jsontext.latest_keys(jsontext.first_balanced(F.col(output)))
-    last = jsontext.latest_keys(jsontext.last_balanced(F.col(output)))
+    found = jsontext.balanced(F.col(output))
+    first, last = (jsontext.latest_keys(found[name]) for name in ("first_object", "last_object"))
     both = df.withColumns({"__first": first, "__last": last})
     usable = lambda m: m.isNotNull() & ~has_placeholder(m)
     picked = F.when(usable(F.col("__first")), F.col("__first")).when(usable(F.col("__last")), F.col("__last"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,20 @@ def existing_features(specs: DataFrame, columns: list[str]) -> DataFrame:
     return specs.filter(normal_name(F.col("feature")).isin(names))
 
 
+def feature_range_kinds(specs: DataFrame, ranges: DataFrame, kinds: Sequence[str] = ("healthy", "possible")) -> DataFrame:
+    """feature, dtype, and <kind>_lo, <kind>_hi of the numerical features.
+
+    ``ranges`` holds feature, kind, range_text; of several texts for one feature and kind the widest
+    bounds count. A kind without a readable range is null. Values within the first kind's range are
+    usual, those beyond the last kind's cannot be.
+    """
+    lo, hi = jsontext.parse_range(F.col("range_text"))
+    bounds = [
+        side(F.when(F.col("kind") == kind, c)).alias(f"{kind}_{name}") for kind in kinds for side, c, name in ((F.min, lo, "lo"), (F.max, hi, "hi"))
+    ]
+    return specs.filter(F.col("dtype") == NUMERICAL).join(ranges.groupBy("feature").agg(*bounds), "feature", "left")
+
+
 def feature_ranges(specs: DataFrame, ranges: DataFrame) -> DataFrame:
     """feature, dtype, lo, hi of the numerical features; ``ranges`` holds feature, range_text."""
     lo, hi = jsontext.parse_range(F.col("range_text"))

@@ -33,3 +33,5 @@ BLOCK_ROWS = 500_000
 PAGE_ROWS = 50_000
 # Rows of the small side a broadcast or a cross product may hold.
 BROADCAST_ROWS = 100_000
+# Rows of each side that one task of a larger cross product pairs.
+GRID_ROWS = 5_000

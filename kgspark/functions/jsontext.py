@@ -53,22 +53,12 @@ def _balanced_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-@F.pandas_udf(T.StringType())
-def first_balanced(texts: pd.Series) -> pd.Series:
-    """First balanced JSON object of a text."""
-    def pick(t):
-        spans = _balanced_spans(t) if t is not None else []
-        return t[spans[0][0] : spans[0][1]] if spans else None
-    return texts.map(pick)
-
-
-@F.pandas_udf(T.StringType())
-def last_balanced(texts: pd.Series) -> pd.Series:
-    """Last balanced JSON object of a text."""
-    def pick(t):
-        spans = _balanced_spans(t) if t is not None else []
-        return t[spans[-1][0] : spans[-1][1]] if spans else None
-    return texts.map(pick)
+@F.pandas_udf(T.StructType([T.StructField("first_object", T.StringType()), T.StructField("last_object", T.StringType())]))
+def balanced(texts: pd.Series) -> pd.DataFrame:
+    """First and last balanced JSON object of a text, from one look at its braces."""
+    found = [(t, _balanced_spans(t)) if t is not None else (t, []) for t in texts]
+    ends = [(t[slice(*s[0])], t[slice(*s[-1])]) if s else (None, None) for t, s in found]
+    return pd.DataFrame(ends, columns=["first_object", "last_object"], dtype=object)
 
 
 _PIECE = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},]|[^"\[\]{},]+|"', re.S)

@@ -65,9 +65,20 @@ def strip_symbols(c: Column) -> Column:
     return F.regexp_replace(c, r"[^a-zA-Z0-9\s]", "")
 
 
-def clean_document(c: Column, compose_unicode: bool = False) -> Column:
-    """Lower case with single spaces."""
+def fold_ascii(c: Column) -> Column:
+    """Letters without their marks; what has no ASCII letter under it goes."""
+    strip = F.pandas_udf(_without_marks, "string")
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(strip(c))
+
+
+def _without_marks(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFD").str.encode("ascii", "ignore").str.decode("ascii")
+
+
+def clean_document(c: Column, compose_unicode: bool = False, ascii_only: bool = False) -> Column:
+    """Lower case with single spaces; composed (NFC) or plain ASCII letters on request."""
     base = compose(c) if compose_unicode else c
+    base = fold_ascii(base) if ascii_only else base
     return F.regexp_replace(F.regexp_replace(F.lower(base), r"\s+", " "), r"^ | $", "")
 
 
@@ -93,7 +104,7 @@ def render_csv(rows: Column, fields: Sequence[str], delimiter: str = ",") -> Col
     return F.concat(F.lit(delimiter.join(fields) + "\n"), F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""))
 
 
-def flags_to_text(flags: dict[str, Column], none_text: str = "No lesion found") -> Column:
+def flags_to_text(flags: dict[str, Column], none_text: str) -> Column:
     """Comma list of the names whose flag is positive."""
     names = F.concat_ws(", ", *[F.when(c > 0, F.lit(n)) for n, c in flags.items()])
     return F.when(names == "", F.lit(none_text)).otherwise(names)

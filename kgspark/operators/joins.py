@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -97,17 +98,30 @@ def _named(joined, pairs, names, merged, how):
 
 
 def _cross(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every pair, allowed only when one side is small enough to be sent to every task."""
-    if is_small(right):
-        right = F.broadcast(right)
-    elif is_small(left):
-        left = F.broadcast(left)
-    else:
-        raise ValueError("a cross product needs one side of at most BROADCAST_ROWS rows")
+    """Every pair. A side of at most BROADCAST_ROWS rows goes to every task; two larger ones meet in a grid."""
     clash = [c for c in left.columns if c in right.columns]
-    return left.withColumnsRenamed({c: f"{c}_1" for c in clash}).crossJoin(
-        right.withColumnsRenamed({c: f"{c}_2" for c in clash})
-    )
+    left = left.withColumnsRenamed({c: f"{c}_1" for c in clash})
+    right = right.withColumnsRenamed({c: f"{c}_2" for c in clash})
+    if is_small(right):
+        return left.crossJoin(F.broadcast(right))
+    if is_small(left):
+        return F.broadcast(left).crossJoin(right)
+    return _grid(left, right)
+
+
+def _grid(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every pair of two large sides: rows are dealt into blocks, and each pair of blocks is a key.
+
+    A row goes once to every block of the other side, so no task holds more than a block of each.
+    """
+    rows, columns = (max(1, math.ceil(df.count() / config.GRID_ROWS)) for df in (left, right))
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        mine = F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+        return df.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    a, b = dealt(left, "__row", rows, "__column", columns), dealt(right, "__column", columns, "__row", rows)
+    return a.join(b, ["__row", "__column"]).drop("__row", "__column")
 
 
 def id_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

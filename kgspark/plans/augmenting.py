@@ -62,6 +62,24 @@ def feature_ranges(t):
     return spec.feature_ranges(merged, ranges).select("feature", "dtype", "lo", "hi")
 
 
+@query(
+    "feature_range_kinds",
+    f"""
+WITH r AS (SELECT event_type || ' rate' AS feature, min(user_id)::DOUBLE AS healthy_lo, (max(user_id) + 1000)::DOUBLE AS healthy_hi,
+  CASE WHEN event_type <> 'view' THEN 0.5 END AS possible_lo, CASE WHEN event_type <> 'view' THEN max(user_id) + 2000.0 END::DOUBLE AS possible_hi FROM events GROUP BY event_type)
+SELECT feature, dtype, healthy_lo, healthy_hi, possible_lo::DOUBLE AS possible_lo, possible_hi FROM {_MERGED} LEFT JOIN r USING (feature) WHERE dtype = 'numerical'
+""",
+)
+def feature_range_kinds(t):
+    merged = spec.merge_specs(spec.keyword_spec(_spec_answers(t), ["event_id"], "output"))
+    sized = t.events.groupBy("event_type").agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi"))
+    said = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), F.concat(low, F.lit(" to "), F.format_number(high.cast("double"), 0)).alias("range_text"))
+    healthy = said("healthy", F.col("lo").cast("string"), F.col("hi") + 1000)
+    possible = said("possible", F.when(F.col("event_type") == "view", "unknown").otherwise("0.5"), F.col("hi") + 2000)
+    ranges = sized.select(F.concat("event_type", F.lit(" rate")).alias("feature"), F.inline(F.array(healthy, possible)))
+    return spec.feature_range_kinds(merged, ranges).select("feature", "dtype", "healthy_lo", "healthy_hi", "possible_lo", "possible_hi")
+
+
 @query(
     "row_prompts",
     f"""

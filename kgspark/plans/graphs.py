@@ -87,6 +87,17 @@ def described_edges(t):
 # ---------------------------------------------------------------- merging
 
 
+@query(
+    "missing_endpoints",
+    f"""{TRADE}, c AS (SELECT * FROM n WHERE type = 'CUSTOMER')
+SELECT title, type, description FROM c UNION ALL SELECT DISTINCT title, NULL, NULL FROM (SELECT source AS title FROM e UNION ALL SELECT target FROM e) WHERE title NOT IN (SELECT title FROM c)""",
+)
+def missing_endpoints(t):
+    """Customers, and the suppliers their edges lead to."""
+    known = trade_nodes(t).filter("type = 'CUSTOMER'").select("title", "type", "description")
+    return merge.with_missing_endpoints(known, trade_edges(t))
+
+
 @query(
     "merge_nodes",
     MENTIONS_SQL

@@ -150,8 +150,18 @@ def feature_job(
     return spec.keyword_spec(model_map(told, to_spec, "prior_knowledge", [topic]), [topic], "output").distinct()
 
 
-def build_vector_index(documents: DataFrame, key: str, text: str, fn: embed.Embed, root: str | None = None) -> DataFrame:
-    """id, text, vector per character chunk of the documents, as a stage table."""
+def embedder_info(spark: SparkSession, root: str) -> DataFrame:
+    """source, model_name, size: who made the vectors of the index under ``root``; questions need the same."""
+    return spark.read.parquet(f"{root.rstrip('/')}/embedder")
+
+
+def build_vector_index(
+    documents: DataFrame, key: str, text: str, fn: embed.Embed, root: str | None = None, embedder: tuple[str, str] | None = None
+) -> DataFrame:
+    """id, text, vector per character chunk of the documents, as a stage table.
+
+    ``embedder`` (source, model name) is written next to the vectors, with their size.
+    """
     spark = documents.sparkSession
     root = root or scratch_path(spark, "vectors")
 
@@ -161,6 +171,10 @@ def build_vector_index(documents: DataFrame, key: str, text: str, fn: embed.Embe
 
     pieces = stage(spark, root, "chunks", chunks)
     vectors = lambda: pieces.join(embed.text_embed(pieces, "id", "text", fn, "vector"), "id").filter("vector IS NOT NULL")
-    return stage(spark, root, "vectors", vectors)
+    built = stage(spark, root, "vectors", vectors)
+    if embedder is not None:
+        size = built.agg(F.max(F.size("vector")).alias("size"))
+        stage(spark, root, "embedder", lambda: size.select(F.lit(embedder[0]).alias("source"), F.lit(embedder[1]).alias("model_name"), "size"))
+    return built
 
 

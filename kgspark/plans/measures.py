@@ -225,6 +225,18 @@ def agreement_corr(t):
     return out.withColumns({c: F.round(c, 6) for c in ("corr_plausibility", "corr_relevance")})
 
 
+@query(
+    "shared_features",
+    f"WITH {_SCORES}, {_SELECTED}, w AS (SELECT min(model) AS a, max(model) AS b FROM se) "
+    "SELECT feature_set, feature FROM se, w WHERE model = a INTERSECT SELECT feature_set, feature FROM se, w WHERE model = b",
+)
+def shared_features(t):
+    """What the first and the last model by name have in common."""
+    selected, _ = _selections(t)
+    ends = selected.agg(F.min("model"), F.max("model")).first()
+    return agreement.shared_features(selected, *ends)
+
+
 @query(
     "agreement_corr_missing",
     f"""WITH {_SCORES}, {_SELECTED}, g AS (SELECT DISTINCT feature_set, model FROM se),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgspark import config
@@ -165,6 +166,25 @@ def clean_documents(t):
     return documents.clean(t.documents.select("doc_id", "text"), "text")
 
 
+# what people paste: letters taken apart, and some without an ASCII letter
+_PASTED = "text || ' E' || chr(769) || 'te' || chr(769) || '  ' || chr(223) || ' ' || chr(8364)"
+
+
+@query("clean_documents_composed", rf"SELECT doc_id, regexp_replace(regexp_replace(lower(nfc_normalize({_PASTED})), '\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM documents")
+def clean_documents_composed(t):
+    pasted = t.documents.select("doc_id", F.concat("text", F.lit(" E\u0301te\u0301  \u00df \u20ac")).alias("text"))
+    return documents.clean(pasted, "text", compose_unicode=True)
+
+
+@query(
+    "clean_documents_ascii",
+    rf"SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(strip_accents({_PASTED}), '[^\x00-\x7f]', '', 'g')), '\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM documents",
+)
+def clean_documents_ascii(t):
+    pasted = t.documents.select("doc_id", F.concat("text", F.lit(" E\u0301te\u0301  \u00df \u20ac")).alias("text"))
+    return documents.clean(pasted, "text", ascii_only=True)
+
+
 @query("strip_citations", "SELECT doc_id, text || '. Done.' AS answer FROM documents")
 def strip_citations(t):
     cited = F.concat(F.col("text"), F.lit("[Data: Reports (1, 2, +more)]. Done.[Data: Reports (7)]"))
@@ -178,14 +198,34 @@ def render_prompt(t):
     return t.conversations.select("conv_id", "turn", F.element_at(sent, -1).alias("m")).select("conv_id", "turn", "m.role", "m.content")
 
 
+@query(
+    "messages_history",
+    """
+WITH h AS (SELECT conv_id, turn, text, lag(role, 2) OVER w AS r2, lag(text, 2) OVER w AS t2, lag(role) OVER w AS r1, lag(text) OVER w AS t1
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, 2 + (r2 IS NOT NULL)::INTEGER + (r1 IS NOT NULL)::INTEGER AS n,
+  concat_ws(chr(10), 'system: You answer.', r2 || ': ' || t2, r1 || ': ' || t1, 'user: ' || text) AS sent FROM h
+""",
+)
+def messages_history(t):
+    """Each turn as a question, with the two turns before it as history."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    before = [F.struct(F.lag("role", n).over(w).alias("role"), F.lag("text", n).over(w).alias("content")) for n in (2, 1)]
+    told = t.conversations.select("conv_id", "turn", "text", F.array(*before).alias("before"))
+    history = F.filter("before", lambda m: m["role"].isNotNull())
+    sent = prompts.messages(F.lit("You answer."), history, F.col("text"))
+    lines = F.array_join(F.transform(sent, lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n")
+    return told.select("conv_id", "turn", F.size(sent).alias("n"), lines.alias("sent"))
+
+
 @query("flags_to_text", """
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN s = '' THEN 'No lesion found' ELSE s END AS flags FROM (
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN s = '' THEN 'none of them' ELSE s END AS flags FROM (
   SELECT l_orderkey, l_linenumber, l_partkey, concat_ws(', ', CASE WHEN l_discount > 0 THEN 'discount' END, CASE WHEN l_tax > 0 THEN 'tax' END,
     CASE WHEN l_quantity - 40 > 0 THEN 'bulk' END) AS s FROM lineitem)
 """)
 def flags_to_text(t):
     flags = {"discount": F.col("l_discount"), "tax": F.col("l_tax"), "bulk": F.col("l_quantity") - 40}
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", strings.flags_to_text(flags).alias("flags"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", strings.flags_to_text(flags, "none of them").alias("flags"))
 
 
 _REPORT_SQL = """regexp_replace(concat_ws(chr(10), 'CUSTOMER: ' || c_name || '.', 'SEGMENT: ' || c_mktsegment || '.',
@@ -305,7 +345,7 @@ def json_balanced(t):
     answer = F.concat(
         F.lit('} text { {"a": '), F.col("props"), F.lit(', "b": {}} and '), F.when(F.col("event_type") == "view", F.col("props")).otherwise(F.lit('{"z": 1}')), F.lit(" end {")
     )
-    return t.events.select("event_id", jsontext.first_balanced(answer).alias("first_object"), jsontext.last_balanced(answer).alias("last_object"))
+    return t.events.select("event_id", jsontext.balanced(answer).alias("o")).select("event_id", "o.first_object", "o.last_object")
 
 
 @query(

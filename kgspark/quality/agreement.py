@@ -91,6 +91,12 @@ def alignment_ratio(scores: DataFrame, selected: DataFrame, columns: Sequence[st
     )
 
 
+def shared_features(selected: DataFrame, left: str, right: str) -> DataFrame:
+    """feature_set, feature: what both models selected."""
+    of = lambda model: selected.filter(F.col("model") == model).select("feature_set", "feature")
+    return of(left).intersect(of(right))
+
+
 def corr_by_stratum(scores: DataFrame, selected: DataFrame, plausibility: str, relevance: str, threshold: float = 3) -> DataFrame:
     """model, stratum (high | low relevance), n, corr between the two scores."""
     used = selected.select("model", "feature").distinct().join(scores, "feature")

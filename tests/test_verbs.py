@@ -23,14 +23,20 @@ def test_semi_does_not_repeat_and_parts_add_up(spark):
     assert sorted(map(tuple, semi.unionByName(anti).collect())) == sorted(map(tuple, a.collect()))
 
 
-def test_cross_needs_a_small_side(spark, monkeypatch):
+def test_cross_of_two_large_sides_meets_in_a_grid(spark, monkeypatch):
     from kgspark import config
 
-    a, b = spark.range(5).withColumnRenamed("id", "a"), spark.range(3).withColumnRenamed("id", "b")
-    assert joins.join(a, b, strategy="cross").count() == 15
+    a, b = spark.range(50).selectExpr("id AS a", "id % 3 AS k"), spark.range(33).selectExpr("id AS b", "id % 2 AS k")
+    want = sorted((i, i % 3, j, j % 2) for i in range(50) for j in range(33))
+    small = joins.join(a, b, strategy="cross")
     monkeypatch.setattr(config, "BROADCAST_ROWS", 2)
-    with pytest.raises(ValueError):
-        joins.join(a, b, strategy="cross")
+    monkeypatch.setattr(config, "GRID_ROWS", 10)
+    grid = joins.join(a, b, strategy="cross")
+    assert grid.columns == small.columns == ["a", "k_1", "b", "k_2"]
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, grid.collect())) == want
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert joins.join(a.limit(0), b, strategy="cross").count() == 0
 
 
 def test_two_names_join_and_suffixes(spark):
@@ -77,7 +83,7 @@ def test_merge_and_union(spark):
     ],
 )
 def test_balanced(spark, text, first, last):
-    r = spark.createDataFrame([(text,)], "t string").select(jsontext.first_balanced("t").alias("f"), jsontext.last_balanced("t").alias("l")).first()
+    r = spark.createDataFrame([(text,)], "t string").select(jsontext.balanced("t").alias("o")).select("o.*").toDF("f", "l").first()
     assert (r["f"], r["l"]) == (first, last)
 
 
