@@ -13,6 +13,9 @@ from kgspark.session import scratch_path
 # Fixed value: the name of Spark's own disk-backed state store.
 DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# What the state stores of one executor hold in memory; the rest is on its disk.
+STATE_MEMORY_MB = 128
+
 
 def normalised(text: Column) -> Column:
     """What two texts are compared by: A-Z lower-cased, null as empty."""
@@ -30,6 +33,10 @@ def _stream_session(spark: SparkSession) -> SparkSession:
     own.conf.set("spark.sql.streaming.stateStore.providerClass", DISK_STATE)
     # many small stores must not reserve space ahead
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    # and share one bound of memory per executor
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", str(STATE_MEMORY_MB))
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "8")
     return own
 
 

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import texts_for_python
@@ -27,7 +28,7 @@ KNOWN_SHARE, STEP_BITS = 0.999, 0.02
 MARGIN_BITS = 8.0
 UNKNOWN = "und"
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
 # All ASCII but letters becomes a blank; bytes of other letters stay.
 _ONLY_LETTERS = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 _WORDISH = re.compile(r"[^\W\d_]")
@@ -83,6 +84,16 @@ class Model:
     context: np.ndarray  # of the last ORDER symbols, the longest kept one
     bits: np.ndarray
     shares: dict[str, float] | None = None  # of the learnable documents of each language, those learned from
+    sent: Broadcast | None = None
+
+    def broadcast(self, spark: SparkSession) -> Broadcast:
+        """The model in the tasks; sent once, so that a Python worker never holds it twice."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"sent": None}
 
 
 def code_lengths(model: Model, parts: list[bytes]) -> np.ndarray:
@@ -258,7 +269,7 @@ def limits(
         return {}
     used = F.coalesce(learnable(id_col) & _drawn(F.col(id_col), F.col(lang_col), model.shares or {}), F.lit(False))
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~used)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.broadcast(docs.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -292,11 +303,11 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
     the text; equal code lengths go to the first name. Repeated rows get equal answers, an empty table
     gives none, a column named like ``out`` is replaced, and no other column is looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model and model.broadcast(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own = shared and shared.value
         for batch in batches:
             yield predict(own, list(batch))[["lang_pred", "score", "bits_per_byte"]]
 
@@ -314,11 +325,11 @@ def in_known_language(
     """
     if model is None:
         return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    shared = docs.sparkSession.sparkContext.broadcast((model, most or {}))
+    shared, most_bits = model.broadcast(docs.sparkSession), most or {}
 
     @F.pandas_udf("boolean")
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own, most_bits = shared.value
+        own = shared.value
         for batch in batches:
             told = predict(own, list(batch))
             limit = np.array([most_bits.get(x, MAX_BITS_PER_BYTE) for x in told["lang_pred"]], float)
