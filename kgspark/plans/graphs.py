@@ -322,9 +322,12 @@ def communities_leiden(t):
     return comm.hierarchical_communities(term_edges(t))
 
 
-@query("communities_unique", "SELECT 0::BIGINT AS at_two_levels, 0::BIGINT AS at_no_parent, 0::BIGINT AS disconnected")
+@query("communities_unique", "SELECT 0::BIGINT AS at_two_levels, 0::BIGINT AS at_no_parent, 0::BIGINT AS disconnected, true AS better")
 def communities_unique(t):
-    """Faults of the hierarchy: a community at two levels, members outside the parent, parts without a path."""
+    """Faults of the hierarchy: a community at two levels, members outside the parent, parts without a path.
+
+    And whether its first level has at least the modularity of label propagation.
+    """
     edges = cut(term_edges(t))
     found = cut(comm.detect(edges))
     twice = found.groupBy("community").agg(F.count_distinct("level").alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("at_two_levels"))
@@ -336,7 +339,13 @@ def communities_unique(t):
     parts = components.connected_components(e.select(tag("source").alias("source"), tag("target").alias("target")), found.select(tag("title").alias("title")))
     per = parts.groupBy(F.substring_index("title", "\u0001", 2).alias("c")).agg(F.count_distinct("component").alias("n"))
     split = per.filter("n > 1").agg(F.count(F.lit(1)).alias("disconnected"))
-    return twice.join(F.broadcast(outside)).join(F.broadcast(split))  # one row each
+    stable = cut(comm.stable_edges(edges))
+    flat = comm.label_propagation(edges).withColumnRenamed("label", "community")
+    own = comm.modularity(stable, found.filter("level = 0"))
+    better = own.join(F.broadcast(comm.modularity(stable, flat).withColumnRenamed("modularity", "other"))).select(  # one row each
+        (F.col("modularity") >= F.col("other")).alias("better")
+    )
+    return twice.join(F.broadcast(outside)).join(F.broadcast(split)).join(F.broadcast(better))  # one row each
 
 
 @query(
