@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -46,11 +47,12 @@ ASIDE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search tablist toolbar".split()
 )
 ASIDE_WORDS = frozenset(
-    """ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs captcha carousel comment commentlist
-    comments consent cookie cookies copyright disclaimer discussion disqus dropdown feedback footer gdpr login masthead menu modal
-    nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted
-    promotion recommended related replies reply respond search share sharing sidebar signup skyscraper social sponsor sponsored
-    subscribe subscription taboola toolbar topbar widget widgets""".split()
+    """ad adbox ads adsense adslot adunit advert advertisement advertising adverts alert announcement banner breadcrumb
+    breadcrumbs captcha carousel comment commentlist comments consent cookie cookies copyright disclaimer discussion disqus
+    dropdown feedback footer gdpr leaderboard login masthead menu modal nav navbar navigation newsletter notice notices
+    notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies reply
+    respond search share sharing sidebar sidenav signin signup skyscraper social sponsor sponsored subnav subscribe subscription
+    taboola toolbar topbar topnav widget widgets""".split()
 )
 # Such a word next to these says what a page has, not what an element is.
 MODIFIERS = frozenset("has no with without hide is".split())
@@ -66,6 +68,18 @@ _DIGITS = re.compile(r"\d+")
 # Numbers in names that count pages rather than tell looks apart.
 _SERIAL = re.compile(r"\d{2,}")
 _LETTERS = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+@functools.lru_cache(10_000)
+def _words(names: str) -> frozenset[str]:
+    """Words in the classes and the id of an element, and each name as one word; what a name says the page has is left out."""
+    out: set[str] = set()
+    for name in names.split():
+        words = _LETTERS.findall(name)
+        if MODIFIERS.isdisjoint(words):
+            out.update(words, ["".join(words)])
+    return frozenset(out)
 
 
 class Node:
@@ -76,14 +90,14 @@ class Node:
         self.label = f"{tag}.{names}" if names else tag
         self.children: list[Node | str] = []
         self.block = tag in BLOCKS or tag in CELLS or parent is None
-        words = set(_LETTERS.findall(names)) if names else ()
-        named = bool(words) and not words.isdisjoint(ASIDE_WORDS) and words.isdisjoint(MODIFIERS)
-        remarks = bool(words) and not words.isdisjoint(COMMENT_WORDS)
+        words = _words(names) if names else frozenset()
+        named = not words.isdisjoint(ASIDE_WORDS)
+        remarks = not words.isdisjoint(COMMENT_WORDS)
         self.main = tag in MAIN and not remarks
         self.in_main = self.main or (parent is not None and parent.in_main)
         # what an element of the article looks like without a class of its own
         self.plain = self.main or (parent is not None and parent.plain and not names)
-        header = tag == "header" and not self.in_main
+        header = (tag == "header" or "header" in words and tag not in ("html", "body")) and not self.in_main
         self.aside = tag in ASIDE_TAGS or header or role in ASIDE_ROLES or (named and tag not in ("html", "body", "main") and not self.main)
         self.key = 0
 
@@ -158,7 +172,7 @@ def parse(page: str) -> Node:
                 continue
             names = role = ""
             if attributes and "=" in attributes:
-                found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
+                found = {m[1].lower(): _CAMEL.sub("-", m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
                 names = " ".join(sorted({*found.get("class", "").split(), *found.get("id", "").split()}))
                 names, role = _SERIAL.sub("0", names), found.get("role", "")
             node = Node(tag, names, role, stack[-1])

@@ -43,7 +43,10 @@ def text_of(page):
         ("<a title='x > y' href=\"</p>\">link</a> after", "link after"),
         ("<P CLASS=Ad>buy</P><p>text</P>", "text"),
         ("<header>top</header><article><header><h1>T</h1></header><p>p</p><div class='post-comments'>no</div></article>out", "T\n\np"),
-        ("<body class='has-sidebar'><div id=side-bar>a</div><div class='col sidebar'>b</div>", "a"),
+        ("<body class='has-sidebar'><div id=side-bar>a</div><div class='col sidebar'>b</div><div class=wide>c</div>", "c"),
+        ("<div class='is-sticky sidebar'>a</div><div id=site-header>b</div><section class='post no-ads'>c</section>", "c"),
+        ("<div class=header>a</div><div class='page-header wrap'><main><div class=post-header>b</div>c</main></div>", "b\n\nc"),
+        ("<div class=adventure>a</div><div class=cookieNotice>b</div><div class='cookie-notice'>c</div><p class=shared>d</p>", "a\n\nd"),
         ("<div class='page footer-wide'><main>m</main></div><footer>f</footer>", "m"),
         ("<div class=related><article>other</article></div><article>this</article>", "this"),
         ("<form action=x><article>whole page in a form</article></form>", "whole page in a form"),
