@@ -326,7 +326,7 @@ def communities_leiden(t):
 def communities_unique(t):
     """Faults of the hierarchy: a community at two levels, members outside the parent, parts without a path.
 
-    And whether its first level has at least the modularity of label propagation.
+    And whether its first level has at least the modularity of label propagation on the same nodes.
     """
     edges = cut(term_edges(t))
     found = cut(comm.detect(edges))
@@ -340,8 +340,9 @@ def communities_unique(t):
     per = parts.groupBy(F.substring_index("title", "\u0001", 2).alias("c")).agg(F.count_distinct("component").alias("n"))
     split = per.filter("n > 1").agg(F.count(F.lit(1)).alias("disconnected"))
     stable = cut(comm.stable_edges(edges))
-    flat = comm.label_propagation(edges).withColumnRenamed("label", "community")
-    own = comm.modularity(stable, found.filter("level = 0"))
+    first = found.filter("level = 0").select("title", "community")
+    flat = comm.label_propagation(edges).withColumnRenamed("label", "community").join(first.select("title"), "title", "left_semi")
+    own = comm.modularity(stable, first)
     better = own.join(F.broadcast(comm.modularity(stable, flat).withColumnRenamed("modularity", "other"))).select(  # one row each
         (F.col("modularity") >= F.col("other")).alias("better")
     )
