@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgspark import config
 
@@ -97,15 +98,35 @@ def _named(joined, pairs, names, merged, how):
     return joined.select(*names)
 
 
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of the values whose length is not fixed."""
+    sizes = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.octet_length(c))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.octet_length(F.to_json(F.struct(c))))
+    if not sizes:
+        return 0
+    total = sum((F.coalesce(s.cast("long"), F.lit(0)) for s in sizes), F.lit(0))
+    return df.agg(F.sum(total)).first()[0] or 0
+
+
 def _cross(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every pair. A side of at most BROADCAST_ROWS rows goes to every task; two larger ones meet in a grid."""
+    """Every pair. A side of few rows and little text goes to every task; two larger ones meet in a grid.
+
+    Few rows can hold long texts, and a broadcast passes the driver whole: so the bytes count too.
+    """
     clash = [c for c in left.columns if c in right.columns]
     left = left.withColumnsRenamed({c: f"{c}_1" for c in clash})
     right = right.withColumnsRenamed({c: f"{c}_2" for c in clash})
-    if is_small(right):
-        return left.crossJoin(F.broadcast(right))
-    if is_small(left):
-        return F.broadcast(left).crossJoin(right)
+    counts = [df.limit(config.BROADCAST_ROWS + 1).count() for df in (left, right)]
+    # the side of fewer rows first: it is the one whose texts are quickly measured
+    for side in sorted((1, 0), key=lambda s: counts[s]):
+        df = (left, right)[side]
+        if counts[side] <= config.BROADCAST_ROWS and text_bytes(df) <= config.BROADCAST_BYTES:
+            return left.crossJoin(F.broadcast(df)) if side else F.broadcast(df).crossJoin(right)
     return _grid(left, right)
 
 
@@ -114,7 +135,9 @@ def _grid(left: DataFrame, right: DataFrame) -> DataFrame:
 
     A row goes once to every block of the other side, so no task holds more than a block of each.
     """
-    rows, columns = (max(1, math.ceil(df.count() / config.GRID_ROWS)) for df in (left, right))
+    rows, columns = (
+        max(1, math.ceil(df.count() / config.GRID_ROWS), math.ceil(text_bytes(df) / config.GRID_BYTES)) for df in (left, right)
+    )
 
     def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
         mine = F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")

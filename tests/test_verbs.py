@@ -129,3 +129,22 @@ def test_stage_is_computed_once(spark, tmp_path):
     assert len(calls) == 1
     tables.stage(spark, str(tmp_path), "s", make, try_load=False)
     assert len(calls) == 2
+
+
+def test_cross_does_not_broadcast_long_texts(spark, monkeypatch):
+    from kgspark import config
+
+    monkeypatch.setattr(config, "BROADCAST_BYTES", 1000)
+    few = spark.createDataFrame([(1, "why?")], "q int, question string")
+    long = spark.range(20).selectExpr("id AS b", "repeat('x', 500) AS context")
+    want = sorted((1, "why?", i, "x" * 500) for i in range(20))
+    for left, right in ((few, long), (long, few)):
+        out = joins.join(left, right, strategy="cross")
+        assert sorted((r["q"], r["question"], r["b"], r["context"]) for r in out.collect()) == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        hinted = [i for i, l in enumerate(plan.splitlines()) if "strategy=broadcast" in l]
+        # the side that is sent whole is the one of the short texts
+        assert hinted and ("rightHint" in plan) == (left is long)
+    monkeypatch.setattr(config, "GRID_BYTES", 2000)
+    grid = joins.join(long, long.withColumnsRenamed({"b": "c", "context": "other"}), strategy="cross")
+    assert "NestedLoop" not in grid._jdf.queryExecution().executedPlan().toString() and grid.count() == 400
