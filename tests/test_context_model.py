@@ -193,3 +193,44 @@ def test_index_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([(1, None)], "id long, vector array<float>")
     index = ivf.build(none, str(tmp_path / "index"))
     assert ivf.search(index, none, none.withColumnRenamed("id", "query_id")).collect() == []
+
+
+def test_hashed_search_makes_no_rows_of_pairs(spark):
+    """The same rows as Spark's join of buckets, and nothing but the best of a partition is shuffled."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    v = np.random.default_rng(5).normal(size=(200, 6))
+    v[50:60] = v[:10] * 2  # ties
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(3, v[3].tolist()), (300, [0.0] * 6), (301, None)]
+    vectors = spark.createDataFrame(rows, "id int, vector array<double>").repartition(3).cache()
+    asked = vectors.filter("id % 9 = 0").withColumnRenamed("id", "query_id")
+    out = topk.similarity_topk_lsh(vectors, asked, 5, radius=0.9, tables=2, width=0.6)
+    assert "distanceTo" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan and "HashJoin" not in plan
+    x = [(i, (np.array(a) / np.sqrt(sum(y * y for y in a))).tolist()) for i, a in rows if a and any(a)]
+    df = spark.createDataFrame(x, "id int, vector array<double>").select("id", array_to_vector("vector").alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.6, numHashTables=2, seed=7).fit(df)
+    pairs = model.approxSimilarityJoin(df.filter("id % 9 = 0"), df, 0.9, "d").select(F.col("datasetA.id").alias("q"), F.col("datasetB.id").alias("i"), "d")
+    want = {}
+    for r in sorted(pairs.collect(), key=lambda r: (r["q"], round(r["d"], 9), r["i"])):
+        want.setdefault(r["q"], []).append(r["i"])
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r["query_id"], r["position"])):
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    assert {q: len(g) for q, g in got.items()} == {q: min(5, len(w)) for q, w in want.items()}
+    assert all({i for i, _ in g} <= set(want[q]) for q, g in got.items())
+    near = {(r["q"], r["i"]): 1 - r["d"] * r["d"] / 2 for r in pairs.collect()}
+    assert all(s == pytest.approx(near[q, i], abs=1e-12) for q, g in got.items() for i, s in g)
+    assert all(min(s for _, s in g) >= max([near[q, i] for i in want[q] if i not in dict(g)], default=-1) - 1e-9 for q, g in got.items())
+
+
+def test_scores_come_in_slices(spark, monkeypatch):
+    v = np.random.default_rng(1).normal(size=(120, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, vector array<double>").coalesce(1)
+    asked = df.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
+    whole = sorted(map(tuple, topk.similarity_topk(df, asked, 6).collect()))
+    monkeypatch.setattr(topk, "SCORE_CELLS", 100)
+    assert sorted(map(tuple, topk.similarity_topk(df, asked, 6).collect())) == whole
+    held = (np.array([0, 0, 1]), np.array([4, 5, 6]), np.array([0.5, 0.25, 0.75]))
+    assert topk._worst(held, 2, 2).tolist() == [[0.25], [-np.inf]]
