@@ -234,3 +234,17 @@ def test_scores_come_in_slices(spark, monkeypatch):
     assert sorted(map(tuple, topk.similarity_topk(df, asked, 6).collect())) == whole
     held = (np.array([0, 0, 1]), np.array([4, 5, 6]), np.array([0.5, 0.25, 0.75]))
     assert topk._worst(held, 2, 2).tolist() == [[0.25], [-np.inf]]
+
+
+def test_trimming_sums_no_step_out_of_reach(spark, monkeypatch):
+    rows = [(0, "c", s, 2 * s, "edge", s, 1 + s % 3) for s in range(1, 60)]
+    items = spark.createDataFrame(rows, "level int, community string, step long, use long, kind string, id long, tokens long")
+    seen, steps = [], local.context_steps
+    monkeypatch.setattr(local, "context_steps", lambda df: seen.append(df.count()) or steps(df))
+    kept = {r["step"] for r in local.trimmed_items(items, 40).collect()}
+    total, want = local.HEAD_TOKENS, set()
+    for r in rows:
+        total += r[6]
+        if total <= 40:
+            want.add(r[2])
+    assert kept == want and seen == [40]
