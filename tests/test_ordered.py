@@ -92,3 +92,31 @@ def test_aggregate_null_rules(spark):
     assert got == {"a": (1.0, None, 1, 1.0), "b": (0.0, None, 1, None)}
     listed = aggregates.aggregate(df, [{"column": "v", "operation": "array_agg", "to": "x"}], ["k"])
     assert {r["k"]: r["x"] for r in listed.collect()} == {"a": [1.0, None], "b": [None]}
+
+
+def test_stage_tables_and_cuts_write_their_rows_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from kgspark.session import cut, stored
+
+    df = spark.range(30).select("id", F.array(F.col("id").cast("string")).alias("a"), F.when(F.col("id") > 3, F.struct("id")).alias("s"))
+    monkeypatch.setattr(type(df), "persist", lambda self, *a: pytest.fail("a copy is kept beside the cut"))
+    want = sorted(map(repr, df.collect()))
+    for kept, source in ((cut(df), "ExistingRDD"), (stored(df), "parquet")):
+        assert sorted(map(repr, kept.collect())) == want and kept.dtypes == df.dtypes
+        assert source in kept._jdf.queryExecution().executedPlan().toString()
+    # what Parquet does not hold is cut
+    odd = stored(df.withColumn("v", F.lit(None)))
+    assert odd.count() == 30 and odd.dtypes[-1] == ("v", "void")
+
+
+def test_first_rows_of_a_budget_are_picked_before_the_shuffle(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from kgspark import config
+
+    w = Window.partitionBy("k").orderBy("id")
+    rows = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("id"))  # no known count
+    df = rows.withColumn("k", F.col("id") % 2).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= config.REPORT_CONTEXT_TOKENS)
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString() and df.count() == 100
