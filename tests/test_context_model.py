@@ -40,6 +40,43 @@ def test_trimmed_context_stays_within_the_limit(spark, limit):
     assert "\n0,a," in whole and whole.index("0,a,b") < whole.index("5,e,f")
 
 
+def test_steps_are_numbered_over_blocks(spark, monkeypatch):
+    """Blocks of a few edges, shared communities, equal and missing ranks, a node without a row: the same steps as a window gives."""
+    titles = [f"n{i}" for i in range(30)]
+    nodes = spark.createDataFrame(
+        [(lv, f"{lv}/{i % (2 + 3 * lv)}", t, i, "d", 1) for lv in (0, 1) for i, t in enumerate(titles)] + [(2, None, "n1", 1, "d", 1)],
+        "level int, community string, title string, human_readable_id int, description string, degree int",
+    )
+    data = [(i, f"n{i * 7 % 32}", f"n{i * 11 % 29}", "x y", None if i % 9 == 0 else i % 5) for i in range(200)]
+    edges = spark.createDataFrame(data, "human_readable_id int, source string, target string, description string, rank int")
+    homes = {}
+    for lv in (0, 1):
+        for i, t in enumerate(titles):
+            homes.setdefault(t, []).append((lv, f"{lv}/{i % (2 + 3 * lv)}"))
+    want, at = set(), {}
+    for i, a, b, _, _ in sorted(data, key=lambda e: (e[4] is None, -(e[4] or 0), e[0])):
+        for home in {*homes.get(a, []), *homes.get(b, [])}:
+            at[home] = at.get(home, 0) + 1
+            want.add((*home, at[home], i))
+    monkeypatch.setattr(local, "EDGE_BLOCK_ROWS", 20, raising=False)
+    lines = local.context_lines(nodes, edges)
+    items = local.context_items(nodes, edges, lines)
+    edge_steps = lambda df: {tuple(r) for r in df.filter("kind = 'edge'").select("level", "community", "step", "id").collect()}
+    assert edge_steps(items) == want
+    assert edge_steps(local.context_items(nodes, edges, lines, max_tokens=100)) == {w for w in want if w[2] <= 100 // 2}  # a line has two tokens
+    first = {}
+    for lv, c, step, i in sorted(want, key=lambda w: w[2]):
+        for side, t in enumerate(data[i][1:3]):
+            if (lv, c) in homes.get(t, []):
+                first.setdefault((lv, c, titles.index(t)), step * 2 + side)
+    got = items.filter("kind = 'node'").select("level", "community", "id", "use").collect()
+    assert {tuple(r)[:3]: r["use"] for r in got} == first and len(got) == len(first)
+    # the rows per community are never dealt out again to be numbered, and lines of edges meet by one number
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan(items)
+    assert plan(local.with_lines(items, lines)).count("Join Inner, (id") == 1
+
+
 def test_claims_get_their_section(spark):
     nodes, edges = small_graph(spark)
     claims = spark.createDataFrame([(1, "b", "T", "S", "said")], "human_readable_id int, subject_id string, type string, status string, description string")

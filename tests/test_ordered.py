@@ -120,3 +120,12 @@ def test_first_rows_of_a_budget_are_picked_before_the_shuffle(spark):
     rows = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("id"))  # no known count
     df = rows.withColumn("k", F.col("id") % 2).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= config.REPORT_CONTEXT_TOKENS)
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString() and df.count() == 100
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_row_numbers_of_large_groups_take_one_shuffle(rows, keys):
+    out = ordered.row_numbers(rows, "r", keys, ["id"], **SMALL)
+    assert same(out, ordered.row_numbers(rows, "r", keys, ["id"], 10**6) if keys else ordered.running_sums(rows, {"r": F.lit(1)}, keys, ["id"], **SMALL))
+    plan = ordered._row_numbers_blocked(rows, "r", keys, [F.col("id").asc()], 240, 7)._jdf.queryExecution().optimizedPlan().toString()
+    # the only window is over the summaries of the blocks
+    assert plan.count("Window [") == 1 and plan.index("Aggregate") > plan.index("Window [")
