@@ -77,6 +77,13 @@ def test_steps_are_numbered_over_blocks(spark, monkeypatch):
     assert plan(local.with_lines(items, lines)).count("Join Inner, (id") == 1
 
 
+def test_a_title_under_two_numbers_takes_the_smallest(spark):
+    nodes, edges = small_graph(spark)
+    twice = nodes.withColumn("human_readable_id", F.explode(F.array(F.col("human_readable_id") + 10, "human_readable_id")))
+    picked = local._node_ids(twice).select("title", "node").collect()
+    assert {r["title"]: r["node"] for r in picked} == {t: i for i, t in enumerate("abcdef")}
+
+
 def test_claims_get_their_section(spark):
     nodes, edges = small_graph(spark)
     claims = spark.createDataFrame([(1, "b", "T", "S", "said")], "human_readable_id int, subject_id string, type string, status string, description string")
