@@ -1,12 +1,14 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.graph import communities, components, degree, merge
+from kgspark import config
+from kgspark.graph import communities, components, degree, merge, tables
 from kgspark.graph.hierarchy import community_hierarchy
 from kgspark.model import records
-from kgspark.session import cut
+from kgspark.session import cut, stored
 
 
 def edges_of(spark, pairs):
@@ -153,3 +155,36 @@ def test_rounds_of_a_graph_know_the_size_of_what_they_wrote(spark):
         for df in made:
             assert "parquet" in df._jdf.queryExecution().executedPlan().toString().lower()
             assert len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 9
+
+
+def test_lists_of_small_groups_need_no_row_numbers(spark):
+    units = spark.createDataFrame([("a", "b", "u1"), ("a", "b", "u1"), ("a", None, "u1"), (None, "b", "u2")], "source string, target string, text_unit_id string")
+    nodes = units.select("text_unit_id", F.explode(F.array("source", "target")).alias("title"))
+    edges = spark.createDataFrame([("a", "b", 1.0, "d")], "source string, target string, weight double, description string")
+    made = {
+        "e": tables.unit_entities(nodes),
+        "r": tables.unit_relationships(units),
+        "p": tables.unit_entities(nodes, 1),
+        "t": tables.final_text_units(units.select(F.col("text_unit_id").alias("id"), F.lit("x").alias("chunk"), F.lit(1).alias("n_tokens"), F.array().alias("document_ids")).distinct(), tables.unit_entities(nodes), tables.unit_relationships(units)),
+    }
+    for name, df in made.items():
+        assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString(), name
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    a, b, ab = md5("a"), md5("b"), md5("a\x01b")
+    assert {r["id"]: r["entity_ids"] for r in made["e"].collect()} == {"u1": [*sorted([a, b]), None], "u2": [b, None]}
+    assert {r["id"]: r["relationship_ids"] for r in made["r"].collect()} == {"u1": sorted([ab, a]), "u2": [b]}
+    assert sorted((r["id"], r["page"], r["entity_ids"][0] or "") for r in made["p"].collect()) == sorted(
+        [(u, i, x) for u, xs in (("u1", [*sorted([a, b]), ""]), ("u2", [b, ""])) for i, x in enumerate(xs)]
+    )
+    related = tables.relationships_table(edges, units).collect()
+    assert [(r["source"], r["page"], r["text_unit_ids"]) for r in related] == [("a", 0, ["u1"])]
+
+
+def test_units_of_an_order_are_found_without_a_shuffle_of_names(spark):
+    from kgspark.plans import graphs
+    from kgspark.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for df in (graphs.trade_units(t), graphs.trade_node_units(t)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "o_orderkey" in plan[plan.index("Aggregate [") :].splitlines()[0]

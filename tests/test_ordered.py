@@ -129,3 +129,29 @@ def test_row_numbers_of_large_groups_take_one_shuffle(rows, keys):
     plan = ordered._row_numbers_blocked(rows, "r", keys, [F.col("id").asc()], 240, 7)._jdf.queryExecution().optimizedPlan().toString()
     # the only window is over the summaries of the blocks
     assert plan.count("Window [") == 1 and plan.index("Aggregate") > plan.index("Window [")
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("page_rows", [None, 3])
+@pytest.mark.parametrize("limit", [None, 20])
+def test_set_pages_give_the_pages_of_distinct_items(rows, page_rows, limit):
+    def item(v):
+        return F.when(v != 2.0, F.concat(F.lit("v"), v.cast("string")))  # 2.0 and null give the same item
+
+    got = ordered.set_pages(rows, ["v"], item, "l", ["k"], page_rows, limit)
+    made = rows.select("k", item(F.col("v")).alias("v")).distinct()
+    want = ordered.collect_pages(made, F.col("v"), "l", ["k"], ["v"], page_rows)
+    assert got.columns == want.columns and same(got, want)
+
+
+def test_small_groups_are_counted_in_buckets(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 1000).alias("k"), "id").unionByName(spark.range(50).select(F.lit(7).cast("long").alias("k"), "id"))
+    for buckets, many in ((ordered.COUNT_BUCKETS, 1000), (2, 1000), (2, 0)):
+        monkeypatch.setattr(ordered, "COUNT_BUCKETS", buckets)
+        monkeypatch.setattr(ordered, "MANY_BUCKETS", many)
+        cold, hot, n = ordered.split_hot(df, ["k"], 20)
+        assert n == 53 and hot.count() == 53 and cold.count() == 2997
+        assert ordered.split_hot(df, ["k"], 60)[1:] == (None, 0)
