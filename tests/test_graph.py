@@ -188,3 +188,18 @@ def test_units_of_an_order_are_found_without_a_shuffle_of_names(spark):
     for df in (graphs.trade_units(t), graphs.trade_node_units(t)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "o_orderkey" in plan[plan.index("Aggregate [") :].splitlines()[0]
+
+
+@pytest.mark.parametrize("page_rows", [None, 2])
+@pytest.mark.parametrize("cell", [50_000, 3])
+def test_merge_joins_lists_without_row_numbers(spark, monkeypatch, page_rows, cell):
+    monkeypatch.setattr(config, "PAGE_ROWS", cell)
+    data = [("k", i, f"v{i % 5}", "w" if i == 3 else None) for i in range(20)] + [("n", 1, None, None), (None, 1, "z", "w")]
+    df = spark.createDataFrame(data, "k string, at long, a string, b string")
+    out = merge.merge_rows(df, ["k"], {"a": ("concat", ","), "b": ("concat", ";")}, ["at"], page_rows)
+    if cell > 20:
+        assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    step = page_rows or cell
+    want = {("k", p): (",".join(f"v{i}" for i in range(5)[p * step : (p + 1) * step]), "" if p else "w") for p in range(-(-5 // step))}
+    got = {(r["k"], r["page"]): (r["a"], r["b"]) for r in out.collect()}
+    assert got == want | {("n", 0): (None, None), (None, 0): (None, None)}
