@@ -203,3 +203,14 @@ def test_merge_joins_lists_without_row_numbers(spark, monkeypatch, page_rows, ce
     want = {("k", p): (",".join(f"v{i}" for i in range(5)[p * step : (p + 1) * step]), "" if p else "w") for p in range(-(-5 // step))}
     got = {(r["k"], r["page"]): (r["a"], r["b"]) for r in out.collect()}
     assert got == want | {("n", 0): (None, None), (None, 0): (None, None)}
+
+
+def test_label_propagation_moves_numbers(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(communities, "stored", lambda df: seen.append(dict(df.dtypes)) or stored(df))
+    pairs = [("b", "a", 1.0), ("b", "c", 1.0), ("c", "d", 5.0), (None, "d", 9.0), ("e", "e", 1.0), ("a", None, 2.0)]
+    edges = spark.createDataFrame(pairs, "source string, target string, weight double")
+    got = {r["title"]: r["label"] for r in communities.label_propagation(edges, 1).collect()}
+    # an end without a name hears the others and is not heard
+    assert got == {"a": "b", "b": "a", "c": "d", "d": "c", "e": "e", None: "d"}
+    assert all(kind != "string" for d in seen[1:] for kind in d.values())
