@@ -214,3 +214,7 @@ def test_label_propagation_moves_numbers(spark, monkeypatch):
     # an end without a name hears the others and is not heard
     assert got == {"a": "b", "b": "a", "c": "d", "d": "c", "e": "e", None: "d"}
     assert all(kind != "string" for d in seen[1:] for kind in d.values())
+
+
+def test_a_task_of_a_shuffle_is_kept_small(spark):
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
