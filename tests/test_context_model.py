@@ -1,3 +1,6 @@
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,7 @@ from kgspark.functions import tokens as tok
 from kgspark.model import apply, offline
 from kgspark.model.summarize import summarize_lines
 from kgspark.quality import agreement
+from kgspark.session import FREE_SHUFFLES, discard, shared_folder, stored
 from kgspark.vector import embed, ivf, topk
 
 
@@ -292,3 +296,33 @@ def test_trimming_sums_no_step_out_of_reach(spark, monkeypatch):
         if total <= 40:
             want.add(r[2])
     assert kept == want and seen == [40]
+
+
+def stages(spark):
+    return {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("stage-*")}
+
+
+def test_numbering_the_edges_leaves_one_table_of_numbers(spark):
+    nodes, edges = small_graph(spark)
+    lines = local.context_lines(nodes, edges)
+    before = stages(spark)
+    items = local.context_items(nodes, edges, lines)
+    # what led to the numbered rows is gone, and names are not in them
+    left = [spark.read.parquet(f"{shared_folder(spark)}/{n}") for n in stages(spark) - before]
+    (written,) = [df for df in left if "id" in df.columns]
+    assert written.columns == ["id", "tokens", "place", "s", "t", "__at"]
+    assert written.filter("s IS NOT NULL").count() + written.filter("t IS NOT NULL").count() == items.filter("kind = 'node'").count()
+
+
+def test_a_stage_table_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum("shuffle_" in str(disk.getAllFiles().apply(i)) for i in range(disk.getAllFiles().length()))
+    before = files()
+    table = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("x")).count())
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before and table.count() == 7
+    assert spark.conf.get(FREE_SHUFFLES) == "false"
+    discard(table)
+    assert not any(Path(f.removeprefix("file://")).exists() for f in table.inputFiles())
