@@ -272,3 +272,18 @@ def test_moves_that_undo_each_other_end(spark, monkeypatch):
     nodes = spark.createDataFrame([(i, int(start[i]), float(k[i]), 6.0) for i in range(5)], "v long, c long, k double, m2 double")
     got = {r.v: r.c for r in communities._local_moves(edges, nodes, 0.01, 1.0, 7).collect()}
     assert got == dict(enumerate(c.tolist()))
+
+
+@pytest.mark.parametrize("hot", [config.HOT_GROUP_ROWS, 2])
+def test_lists_of_communities_are_sorted_as_bytes(spark, monkeypatch, hot):
+    monkeypatch.setattr(config, "HOT_GROUP_ROWS", hot)
+    seen = []
+    monkeypatch.setattr(tables, "stored", lambda df: seen.append(dict(df.dtypes)) or stored(df))
+    edges = spark.createDataFrame([("a", "b"), ("b", "ç"), ("c", "d")], "source string, target string")
+    units = spark.createDataFrame([("a", "b", "é"), ("b", "ç", "z"), ("a", "b", "u1"), ("c", "d", "u1"), ("b", "ç", None)], "source string, target string, text_unit_id string")
+    member = spark.createDataFrame([(0, "a", "A"), (0, "b", "A"), (0, "c", "B"), (0, "d", None)], "level int, title string, community string")
+    got = {(r["id"], r["page"]): (r["relationship_ids"], r["text_unit_ids"]) for r in tables.communities_table(edges, units, member, 2).collect()}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    both = sorted([md5("a\x01b"), md5("b\x01ç")])
+    assert got == {("A", 0): (both, ["u1", "z"]), ("A", 1): ([], ["é"]), ("B", 0): ([md5("c\x01d")], ["u1"])}
+    assert seen[1]["value"] == "binary"
